@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, sharding, simhash
+from graphloom.llm import bpe, sharding, simhash, substring
 from graphloom.llm.common import table
 
 
@@ -36,10 +36,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("first_id").alias("first_doc_id"), "start", "length", "words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op7_sharding": op7_sharding,
+    "op9_substring": op9_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
