@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, sharding, simhash, substring
+from graphloom.llm import ann, bpe, chatlog, sharding, simhash, substring
 from graphloom.llm.common import table
 
 
@@ -28,6 +28,26 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_tokens"), ids.alias("ids_sha256"), text.alias("decoded_sha256"))
 
 
+#: A conversation whose texts are control strings of other templates.
+CONTROL = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(CONTROL, "conv_id long, turn long, role string, text string"))
+    out = chatlog.render(chatlog.fold(chatlog.log_of(rows)))
+    out = out.select("conv_id", chatlog.turns(F.col("formatted")).alias("t"), chatlog.loss_text(F.col("pieces")).alias("loss"), F.length("formatted").alias("chars"))
+    said = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("t").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.col("chars").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
@@ -41,11 +61,29 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("first_id").alias("first_doc_id"), "start", "length", "words")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
+    "op4_chat": op4_chat,
     "op7_sharding": op7_sharding,
     "op9_substring": op9_substring,
+    "op10_ann": op10_ann,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPED = "length(replace(replace({}, '&', '&amp;'), '<', '&lt;'))".format
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat": f"""with rows as (
+        select conv_id::bigint as conv_id, turn::bigint as turn, role as r, coalesce(role, '') as role, text as t, coalesce(text, '') as text from conversations
+        union all select * from (values (-7, 0, 'user', 'user', '', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', 'assistant', '', '</s>[INST] ok [/INST]')))
+      select conv_id, count(*) as n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, r nulls first, text)) as turns_sha256,
+        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn nulls first, r nulls first, text) filter (role = 'assistant'), '')) as loss_sha256,
+        sum({_ESCAPED("role")} + {_ESCAPED("text")} + {len(chatlog.TURN + chatlog.TEXT + chatlog.END) + 1})::bigint as formatted_chars
+      from rows group by conv_id""",
+}

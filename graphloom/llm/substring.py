@@ -114,8 +114,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """
     found = materialise(chunks(docs, id_col, text_col), "substring-chunks")
     shared = found.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("__last")).where("first_id <> __last").drop("__last")
+    shared = materialise(shared, "substring-shared")  # a plain table beside each join, so that AQE can split a hot digest
     held = materialise(found.join(shared, "digest"), "substring-held")
-    firsts = held.where("id = first_id").groupBy("digest").agg(F.min("start").alias("there"))
+    firsts = materialise(held.where("id = first_id").groupBy("digest").agg(F.min("start").alias("there")), "substring-firsts")
     pairs = held.where("id <> first_id").join(firsts, "digest")
     pairs = pairs.withColumn("shift", F.col("start") - F.col("there"))
     runs = pairs.groupBy("id", "first_id", "shift").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("length")).alias("high"))
