@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, bpe, chatlog, sharding, simhash, substring
+from graphloom.llm import ann, bpe, chatlog, quality, sharding, simhash, substring
 from graphloom.llm.common import table
 
 
@@ -48,6 +48,12 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    digits = [F.round(c, 6).alias(c) for c in ("p_doc", "site_posterior", "path_posterior", "p_good", "p_toxic")]
+    return found.where("keep").select(F.col("id").alias("doc_id"), "site", "path", *digits, "keep")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op4_chat": op4_chat,
+    "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
     "op9_substring": op9_substring,
     "op10_ann": op10_ann,
