@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import materialise, parts as shuffle_parts
 
 SAMPLE = 8192
+PARTS = 32  # what a sample of that size can teach; a power of two
 BLOCK = 8192
 TARGET = 0.94
 
@@ -124,7 +125,7 @@ def train(x: np.ndarray, target: np.ndarray, seed: int, hidden: int = 256, epoch
 def fit(x: np.ndarray, parts: int, k: int = 20, seed: int = 11, target: float = TARGET) -> Router:
     """A router over ``parts`` (a power of two) from distinct vectors. probes: the fewest parts that hold ``target`` of
     the k nearest of 1,024 of them."""
-    if len(x) <= parts or parts == 1:
+    if len(x) < 8 * parts or parts == 1:  # too few to learn from: one part, which is exact
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     graph = neighbour_graph(x, max(k, 10))
     part = balanced_parts(x, graph, parts, seed)
@@ -163,7 +164,7 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def search(vectors: DataFrame, asked, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", target: float = TARGET, seed: int = 11, parts: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, asked, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", target: float = TARGET, seed: int = 11, parts: int = PARTS) -> DataFrame:
     """(query_id, rank, id, score): for each usable row whose id satisfies ``asked(id)`` its k nearest others found, by
     inner product in double precision, largest first, ties to the smaller id; all others, if fewer than k.
 
@@ -179,8 +180,6 @@ def search(vectors: DataFrame, asked, k: int = 20, id_col: str = "vec_id", vec_c
     classes = rows.groupBy("vec").agg(F.min("id").alias("rep"), F.bool_or(asked(F.col("id"))).alias("asked"))
     classes = materialise(classes, "ann-classes")
     n = classes.count()
-    if parts is None:
-        parts = 1 << int(np.clip(round(np.log2(max(n, 1) / 800)), 3, 8))
     sample = classes.select("rep", "vec").orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(SAMPLE).toArrow()
     router = fit(_matrix(sample.column("vec")), parts, k, seed, target) if n else Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
 
