@@ -183,10 +183,12 @@ def _blocks(texts: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-def evidence(rows: DataFrame, heads: tuple[Head | None, Head | None], texts) -> DataFrame:
-    """``rows`` with good (log odds of good quality) and poison (log odds of toxic). ``texts(batch)`` gives the Arrow
-    column of a batch that holds the texts. A head that is None gives good, and not toxic, at 4 to 1."""
+def evidence(rows: DataFrame, heads: tuple[Head | None, Head | None], texts, drop: int = 0) -> DataFrame:
+    """``rows`` with good (log odds of good quality) and poison (log odds of toxic), without the last ``drop`` columns.
+    ``texts(batch)`` gives the Arrow column of a batch that holds the texts. A head that is None gives good, and not
+    toxic, at 4 to 1."""
     bad, toxic = heads
+    kept = len(rows.columns) - drop
 
     def run(batches):
         import pyarrow as pa
@@ -198,9 +200,9 @@ def evidence(rows: DataFrame, heads: tuple[Head | None, Head | None], texts) ->
                 good = -bad.logit(f, n) if bad else np.full(n, np.log(4.0))
                 poison = toxic.logit(f, n) if toxic else np.full(n, -np.log(4.0))
                 made = [pa.array(np.clip(x, -20, 20).astype(np.float64)) for x in (good, poison)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in b.columns), *made], [*b.schema.names, "good", "poison"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in b.columns[:kept]), *made], [*b.schema.names[:kept], "good", "poison"])
 
-    fields = [*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("good", "poison"))]
+    fields = [*rows.schema.fields[:kept], *(T.StructField(c, T.DoubleType()) for c in ("good", "poison"))]
     return rows.mapInArrow(run, T.StructType(fields))
 
 
@@ -238,18 +240,19 @@ def posteriors(scored: DataFrame, site: str = "site", path: str = "path", p: str
     return rows.select(site, path, "n_path", "site_posterior", post.alias("path_posterior"), "prior")
 
 
-def _judge(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, site_col: str, path_col: str, sample: int, site_weight: float, threshold: float, most_toxic: float) -> DataFrame:
-    """The judged documents: row (a struct of all columns), site, path, and the columns of ``classify``."""
-    heads = fit(docs, labels, sample, id_col=id_col, text_col=text_col)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[site_col].cast("string").alias("site"), docs[path_col].cast("string").alias("path"))
-    at = docs.columns.index(text_col)
-    scored = materialise(evidence(rows, heads, lambda b: b.column(0).field(at)), "quality-evidence")
-    scored = scored.withColumn("p_doc", 1 / (1 + F.exp(-F.col("good"))))
-    groups = posteriors(scored.select("site", "path", F.col("p_doc").alias("p"))).withColumnsRenamed({"site": "__site", "path": "__path"})
-    scored = scored.join(groups, F.col("site").eqNullSafe(F.col("__site")) & F.col("path").eqNullSafe(F.col("__path")))
+def _judged(scored: DataFrame, groups: DataFrame, site_weight: float, threshold: float, most_toxic: float) -> DataFrame:
+    """scored(site, path, good, poison, ...) with the columns of ``classify``. The groups are a plain table, which Spark
+    broadcasts if it is small."""
+    groups = groups.withColumnsRenamed({"site": "__site", "path": "__path"})
+    rows = scored.join(groups, F.col("site").eqNullSafe(F.col("__site")) & F.col("path").eqNullSafe(F.col("__path")))
     odds = F.col("good") + site_weight * (_odds(F.col("path_posterior")) - _odds(F.col("prior")))
-    scored = scored.withColumns({"p_good": 1 / (1 + F.exp(-odds)), "p_toxic": 1 / (1 + F.exp(-F.col("poison")))})
-    return scored.withColumn("keep", (F.col("p_good") >= threshold) & (F.col("p_toxic") < most_toxic))
+    sure = lambda x: 1 / (1 + F.exp(-x))
+    rows = rows.withColumns({"p_doc": sure(F.col("good")), "p_good": sure(odds), "p_toxic": sure(F.col("poison"))})
+    return rows.withColumn("keep", (F.col("p_good") >= threshold) & (F.col("p_toxic") < most_toxic))
+
+
+def _groups(scored: DataFrame) -> DataFrame:
+    return materialise(posteriors(scored.select("site", "path", (1 / (1 + F.exp(-F.col("good")))).alias("p"))), "quality-groups")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", sample: int = SAMPLE, site_weight: float = 0.5, threshold: float = 0.5, most_toxic: float = 0.3) -> DataFrame:
@@ -259,13 +262,21 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     features; null sites and paths form groups of their own; repeated rows are scored alike; without usable labels
     every document counts as good at 4 to 1; an empty table gives an empty result. Other columns are not read.
     """
-    own = docs.select(*dict.fromkeys((id_col, text_col, site_col, path_col)))
-    rows = _judge(own, labels, id_col, text_col, site_col, path_col, sample, site_weight, threshold, most_toxic)
-    return rows.select(F.col("row")[id_col].alias("id"), "site", "path", "p_doc", "site_posterior", "path_posterior", "p_good", "p_toxic", "keep")
+    heads = fit(docs, labels, sample, id_col=id_col, text_col=text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
+    scored = materialise(evidence(rows, heads, lambda b: b.column(3), drop=1), "quality-evidence")
+    out = _judged(scored, _groups(scored), site_weight, threshold, most_toxic)
+    return out.select("id", "site", "path", "p_doc", "site_posterior", "path_posterior", "p_good", "p_toxic", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", sample: int = SAMPLE, site_weight: float = 0.5, threshold: float = 0.5, most_toxic: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, all columns unchanged. The texts are written once beside their scores
-    rather than shuffled to them."""
-    rows = _judge(docs, labels, id_col, text_col, site_col, path_col, sample, site_weight, threshold, most_toxic)
-    return rows.where("keep").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    """The rows of ``docs`` that ``classify`` keeps, all columns unchanged. The texts are scored a second time beside
+    their rows, which costs less than writing or shuffling them."""
+    heads = fit(docs, labels, sample, id_col=id_col, text_col=text_col)
+    groups = docs[site_col].cast("string").alias("site"), docs[path_col].cast("string").alias("path")
+    first = docs.select(*groups, docs[text_col].cast("string").alias("text"))
+    shrunk = _groups(materialise(evidence(first, heads, lambda b: b.column(2), drop=1), "quality-evidence"))
+    at = docs.columns.index(text_col)
+    rows = docs.select(*groups, F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    kept = _judged(evidence(rows, heads, lambda b: b.column(2).field(at)), shrunk, site_weight, threshold, most_toxic).where("keep")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
