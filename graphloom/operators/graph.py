@@ -21,7 +21,11 @@ def collapse(edges: DataFrame, order: Column) -> DataFrame:
 
 def upsert_edges(existing: DataFrame, batch: DataFrame, order: Column) -> DataFrame:
     """``existing`` merged with the last writes of ``batch``: a matched edge takes all the new values."""
-    new = collapse(batch, order)
+    return merge_edges(existing, collapse(batch, order))
+
+
+def merge_edges(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """As ``upsert_edges``, of edges that are unique by (src, rel, dst)."""
     values = [c for c in new.columns if c not in KEY]
     old = existing.select(*KEY, F.struct(*values).alias("__old"))
     new = new.select(*KEY, F.struct(*values).alias("__new"))

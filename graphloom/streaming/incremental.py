@@ -28,7 +28,7 @@ def upsert_each(path: str, order: str = "seq") -> Callable[[DataFrame, int], Non
         new = graph.collapse(batch, F.col(order))
         values = new.select([c for c in new.columns if c != order])
         if number:
-            values = graph.upsert_edges(spark.read.parquet(f"{path}/version={number - 1}"), new, F.col(order)).select(values.columns)
+            values = graph.merge_edges(spark.read.parquet(f"{path}/version={number - 1}"), values)
         values.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return merge
