@@ -18,7 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, parts as shuffle_parts
+from graphloom.llm.common import materialise, slices
+from graphloom.llm.common import parts as shuffle_parts
 
 SAMPLE = 8192
 PARTS = 32  # what a sample of that size can teach; a power of two
@@ -187,7 +188,7 @@ def search(vectors: DataFrame, asked, k: int = 20, id_col: str = "vec_id", vec_c
         def run(batches):
             import pyarrow as pa
 
-            for b in batches:
+            for b in slices(batches, 8192):
                 if b.num_rows:
                     order = router.order(_matrix(b.column(1)), most)
                     at = pa.array(np.repeat(np.arange(b.num_rows), order.shape[1]))

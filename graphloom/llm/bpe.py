@@ -13,6 +13,7 @@ product of the one before. The longest such chain, in bytes, is found by one dyn
 from __future__ import annotations
 
 import codecs
+import functools
 import heapq
 import json
 from collections import defaultdict
@@ -21,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import slices
+
 #: White space as Unicode's White_Space property.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: The split pattern of byte-level vocabularies of this family.
@@ -29,7 +32,7 @@ SPLIT = regex.compile(PATTERN)
 RUNS = {k: regex.compile(v) for k, v in {"L": r"\p{L}*", "N": r"\p{N}*", "O": rf"[^{SPACE}\p{{L}}\p{{N}}]*", "S": rf"[{SPACE}]*"}.items()}
 FEED = 1 << 16  # characters fed at a time
 LONG = 1024  # a pretoken of more characters is streamed
-CACHE = 400_000  # pretokens remembered, at most twice as many
+CACHE = 200_000  # pretokens remembered, at most twice as many
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -183,6 +186,8 @@ class Encoder:
         return self._split("", True)
 
     def encode(self, text: str) -> bytes:
+        self.text = self.tail = self.run = ""
+        self.core.held = b""
         cut = max(0, (len(text) - 1) // FEED * FEED)
         return b"".join([*(self.feed(text[at : at + FEED]) for at in range(0, cut, FEED)), self._split(text[cut:], True)])
 
@@ -265,6 +270,13 @@ class Decoder:
         return "".join([*(self.feed(packed[at : at + step]) for at in range(0, len(packed), step)), self.finish()])
 
 
+@functools.lru_cache(maxsize=1)
+def coders(path: str) -> tuple[Encoder, Decoder]:
+    """The coders of a file; a worker keeps those of the last one across its tasks."""
+    vocabulary = Vocabulary.load(path)
+    return Encoder(vocabulary), Decoder(vocabulary)
+
+
 def _stepwise(docs: DataFrame, id_col: str, in_col, in_type: str, build, fields: str) -> DataFrame:
     """Rows (id, in) through build() -> function(value) -> tuple, in Arrow batches of about 8 MB."""
     rows = docs.select(F.col(id_col).alias("id"), in_col.cast(in_type).alias("value"))
@@ -274,7 +286,7 @@ def _stepwise(docs: DataFrame, id_col: str, in_col, in_type: str, build, fields:
         import pyarrow as pa
 
         step, schema = build(), None
-        for b in batches:
+        for b in slices(batches):
             start, out, size = 0, [], 0
             for k, value in enumerate(b.column(1)):
                 out.append(step(value.as_py()))
@@ -293,7 +305,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     their ids. Null and empty texts give no ids; one row for each row of ``docs``, repeated ones too."""
 
     def build():
-        encoder = Encoder(Vocabulary.load(path))
+        encoder, _ = coders(path)
         return lambda text: (encoder.encode(text or ""),)
 
     return _stepwise(docs, id_col, F.col(text_col), "string", build, "ids binary")
@@ -303,7 +315,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "id
     """(id, text): the inverse of ``encode``. Null ids give an empty text."""
 
     def build():
-        decoder = Decoder(Vocabulary.load(path))
+        _, decoder = coders(path)
         return lambda ids: (decoder.decode(ids or b""),)
 
     return _stepwise(encoded, id_col, F.col(ids_col), "binary", build, "text string")
@@ -313,8 +325,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(id, ids, text): ``encode`` and ``decode`` in one pass over the rows."""
 
     def build():
-        vocabulary = Vocabulary.load(path)
-        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        encoder, decoder = coders(path)
 
         def step(text):
             ids = encoder.encode(text or "")

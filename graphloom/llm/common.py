@@ -47,6 +47,21 @@ def text_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches cut to at most ``rows`` rows, so that what a worker makes of one stays small. After the last, memory
+    that the worker no longer uses goes back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 # --- vectorised words -------------------------------------------------------------------------------------------
 
 #: 1 for bytes that belong to a word: ASCII letters and digits, and all of UTF-8 beyond ASCII.
@@ -97,9 +112,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; root is the same for all nodes of a component.
 
-    Each round every node points to its smallest neighbour (or itself), pointers are doubled, edges are rewritten to
-    the pointers' ends and made distinct; it stops when no edge is left. Only aggregates with map-side combining and
-    equi joins are used (skewed ones are split by AQE); nothing is collected. Null ends are dropped.
+    Each round every node points to its smallest neighbour (or itself), pointers are doubled until they end at nodes that
+    point to themselves, edges are rewritten to these and made distinct. A round leaves at most half of the nodes, and
+    it stops when no edge is left. Only aggregates with map-side combining and equi joins are used (skewed ones are
+    split by AQE); nothing is collected. Null ends are dropped.
     """
     live = materialise(edges.where("a <> b").select("a", "b").distinct(), label)
     roots = materialise(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), label)
@@ -107,11 +123,14 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
         point = materialise(point, label)
-        onward = point.select(F.col("a").alias("p"), F.col("p").alias("q"))
-        twice = materialise(point.join(onward, "p").select("a", F.col("q").alias("p")), label)
-        on_b = twice.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        live = live.join(twice, "a").join(on_b, "b").where("p <> pb")
+        moved = True
+        while moved:
+            onward = point.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            step = materialise(point.join(onward, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), label)
+            point, moved = step.select("a", "p"), not step.where("moved").isEmpty()
+        on_b = point.select(F.col("a").alias("b"), F.col("p").alias("pb"))
+        live = live.join(point, "a").join(on_b, "b").where("p <> pb")
         live = materialise(live.select(F.least("p", "pb").alias("a"), F.greatest("p", "pb").alias("b")).distinct(), label)
-        moved = twice.select(F.col("a").alias("root"), F.col("p").alias("to"))
-        roots = materialise(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), label)
+        ends = point.select(F.col("a").alias("root"), F.col("p").alias("to"))
+        roots = materialise(roots.join(ends, "root", "left").select("node", F.coalesce("to", "root").alias("root")), label)
     return roots

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, parts, text_bytes, word_hashes, word_spans
+from graphloom.llm.common import materialise, parts, slices, text_bytes, word_hashes, word_spans
 
 TERMS = 8192
 SKETCH = 256
@@ -33,7 +33,7 @@ ITEMS = 2000  # benchmark items compared at a time
 ITEM_BYTES = 8 << 20  # and at most so many bytes of text
 SHARED = 0.4  # share of an item window's terms that a candidate must have
 LEAST = 5  # shorter items are no evidence
-BATCH = 1 << 21  # bytes of text handled at a time
+BATCH = 1 << 20  # bytes of text handled at a time
 SEED = 77
 
 
@@ -108,7 +108,7 @@ def statistics(docs: DataFrame, text_col: str = "text", salts: int = 16) -> tupl
         task = TaskContext.get().partitionId()
         rng = np.random.default_rng([SEED, task])
         sketch, with_term, n = np.zeros((SKETCH, TERMS), np.int32), np.zeros(TERMS, np.int64), 0
-        for b in batches:
+        for b in slices(batches):
             texts = text_bytes(b.column(0))
             n += len(texts)
             for lo, hi in _pieces(texts):
@@ -296,7 +296,7 @@ def leaks(
 
             own, to_latent = held.value, table.value
             ids = pa.array(own.ids)
-            for b in batches:
+            for b in slices(batches):
                 found = search_texts(text_bytes(b.column(2)), own, to_latent, cosine, full, part, answer)
                 if found:
                     doc, item, c, share, tail = (list(x) for x in zip(*found, strict=True))

@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import slices
+
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -35,7 +37,6 @@ ENDS_P = (BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 _END = {name: re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE) for name in RAW}
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
 _NONE, _UNSEEN, _SEEN = (re.compile(p, re.IGNORECASE) for p in (r"display\s*:\s*none", r"visibility\s*:\s*(?:hidden|collapse)", r"visibility\s*:\s*visible"))
 _GAPS = re.compile(r"[ \t\n\r\f]+")
 DEEPEST = 512  # deeper elements are siblings of their contents, as in browsers
@@ -107,7 +108,12 @@ class Builder:
                     del self.stack[k:]
                     break
                 if self.stack[k].tag in reach:
+                    k = 0
                     break
+            else:
+                k = 0
+            if tag == "p" and not k:  # an end without a start makes an empty paragraph
+                self._push("p", {}, True)
 
     def text(self, data: str) -> None:
         if self.stack[-1].tag == "head" and not data.isspace():
@@ -175,7 +181,9 @@ def parse(source: str) -> Builder:
 def hidden_selectors(rules: list[str]) -> tuple[frozenset[str], frozenset[str]]:
     """(display none, visibility hidden): the simple selectors (tag, .class, #id) that style sheets hide."""
     none, unseen = set(), set()
-    for selectors, body in (x for r in rules for x in _RULE.findall(r)):
+    for part in (x for r in rules for x in r.split("}")):
+        selectors, _, body = part.rpartition("{")
+        selectors = selectors.rpartition("{")[2]  # of a rule within another
         names = {s.strip() for s in selectors.split(",")}
         names = {s for s in names if re.fullmatch(r"[.#]?[\w-]+", s)}
         if _NONE.search(body):
@@ -379,7 +387,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             texts, lo, size = [], 0, 0
             for k, page in enumerate(b.column(b.num_columns - 1)):
                 texts.append(render(page.as_py()))

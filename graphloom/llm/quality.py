@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import WORD, materialise, text_bytes, word_hashes, word_spans
+from graphloom.llm.common import WORD, materialise, slices, text_bytes, word_hashes, word_spans
 
 SAMPLE = 16_384  # labelled rows used to fit, at most
 WORDS = 512  # hashed words that a head looks at
@@ -31,7 +31,7 @@ _ALPHA[97:123] = True
 _ALPHA[128:] = True
 _MARK = np.zeros(256, bool)
 _MARK[[c for c in range(33, 127) if not WORD[c] and chr(c) not in ".,;:'\"()-?"]] = True
-BATCH = 1 << 22  # bytes handled at a time
+BATCH = 1 << 21  # bytes handled at a time
 
 
 @dataclass
@@ -116,16 +116,19 @@ def fit_head(f: Features, y: np.ndarray, ridge: float = 1.0) -> Head:
     chosen = np.sort(chosen[strength[chosen] > 4])
     scale = f.dense.std(0)
     head = Head(f.dense.mean(0), np.where(scale > 1e-9, scale, 1), chosen, np.zeros(0))
-    x = head.design(f, n).astype(np.float64)
+    x = head.design(f, n)
     np.clip(x[:, :DENSE], -8, 8, out=x[:, :DENSE])
     w = np.zeros(x.shape[1])
     w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(12):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (q - y) + penalty * w
-        hessian = (x * (q * (1 - q))[:, None]).T @ x + np.diag(penalty)
+        gradient, hessian = penalty * w, np.diag(penalty)
+        for at in range(0, n, 2048):  # a block of rows in double precision at a time
+            own = x[at : at + 2048].astype(np.float64)
+            q = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            gradient += own.T @ (q - y[at : at + 2048])
+            hessian += (own * (q * (1 - q))[:, None]).T @ own
         step = np.linalg.solve(hessian, gradient)
         w -= step * min(1, 4 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-4:
@@ -145,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 5,
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             for lo, hi in _blocks(texts := text_bytes(b.column(1))):
                 f = features(texts[lo:hi])
                 cut = np.searchsorted(f.doc, np.arange(hi - lo + 1))
@@ -166,9 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 5,
         if len(set(y)) < 2:
             heads.append(None)
             continue
-        words = [np.frombuffer(x, np.int32).astype(np.int64) for x in own.column("words").to_pylist()]
-        doc = np.repeat(np.arange(len(own)), list(map(len, words)))
-        dense = np.array(own.column("dense").to_pylist()).reshape(-1, DENSE)
+        words = [np.frombuffer(x, np.int32) for x in own.column("words").to_pylist()]
+        doc = np.repeat(np.arange(len(own), dtype=np.int32), list(map(len, words)))
+        dense = own.column("dense").combine_chunks().flatten().to_numpy().reshape(-1, DENSE)
         heads.append(fit_head(Features(dense, doc, np.concatenate(words)), y))
     return heads[0], heads[1]
 
@@ -193,7 +196,7 @@ def evidence(rows: DataFrame, heads: tuple[Head | None, Head | None], texts, dro
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             own = text_bytes(texts(b))
             for lo, hi in _blocks(own):
                 n, f = hi - lo, features(own[lo:hi])

@@ -1,8 +1,9 @@
 """Proportional stratified interleaving.
 
 Rows are put in a seeded random order within each source; row k of a source of n rows has the fractional rank
-(k + 0.5) / n; sorting by it interleaves the sources in proportion, and cutting the sequence into equal pieces gives
-shards that all have the mixture of the whole.
+(k + u) / n, u being a fraction that the source's name draws; sorting by it interleaves the sources in proportion, and cutting the sequence into equal pieces gives
+shards that all have the mixture of the whole. (With one u for all, sources of like size would come in step, and a
+cut through a step would favour some.)
 
 Both rankings are counts of earlier buckets plus a rank within a bucket. A bucket of a source is a range of the
 uniform shuffle key, one of the sequence is a range of the fractional rank; either holds about ROWS rows however
@@ -48,7 +49,8 @@ def interleave(rows: DataFrame, source: Column, key: Column, shards: int, seed:
     ranked = base.withColumn("__rank", F.row_number().over(within) - 1)
     starts = _before(base, ["__source"], "__bucket", "__total", "__start")
     ranked = ranked.join(starts, ["__source", "__bucket"])
-    ranked = ranked.withColumn("__place", (F.col("__start") + F.col("__rank") + 0.5) / F.col("__total"))
+    drawn = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("__source")), 11) + 0.5) / float(1 << 53)
+    ranked = ranked.withColumn("__place", (F.col("__start") + F.col("__rank") + drawn) / F.col("__total"))
     ranked = materialise(ranked.drop("__bucket", "__rank", "__start", "__total"), "sharding")
     ranked = ranked.withColumn("__cell", F.floor(F.col("__place") * buckets))
     cells = _before(ranked, [], "__cell", "__total", "__start")

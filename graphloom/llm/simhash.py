@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, materialise, parts, text_bytes
+from graphloom.llm.common import components, materialise, parts, slices, text_bytes
 
 SUBTREE = 65_536  # fingerprints in a subtree, about
 BLOCK = 1 << 19  # node pairs or fingerprint pairs handled at a time
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(x, width, seed) for x in text_bytes(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 

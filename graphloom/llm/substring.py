@@ -17,12 +17,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, text_bytes
+from graphloom.llm.common import materialise, slices, text_bytes
 
 BITS = 5  # a boundary every 32 bytes
 SHORTEST = 16  # shorter chunks are no evidence
 LONGEST = 256  # chunks are cut there at the latest
 WINDOW = 16
+#: White space counts as equal, byte for byte, so that a passage may be wrapped differently.
+FLAT = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 GEAR = np.random.default_rng(20_240_607).integers(0, 1 << 16, 256, np.uint16)
 
 
@@ -56,6 +58,7 @@ def chunk_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     digest = xxhash.xxh3_64_intdigest
     rows, starts, lengths, digests = [], [], [], []
     for k, text in enumerate(texts):
+        text = text.translate(FLAT)
         ends = boundaries(np.frombuffer(text, np.uint8))
         size = np.diff(ends, prepend=0)
         long = size >= SHORTEST
@@ -75,7 +78,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             row, start, length, digest = chunk_texts(text_bytes(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(digest)], ["id", "start", "length", "digest"])
 
@@ -84,10 +87,10 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def equal_spans(here: bytes, there: bytes, min_words: int, before: bytes = b"") -> list[tuple[int, int, int]]:
-    """(start, length, words) in ``here`` of the maximal runs equal to ``there``, byte by byte, cut to whole words of
-    ``here`` and of at least ``min_words`` of them. before: the byte before ``here``, empty at a text's start."""
+    """(start, length, words) in ``here`` of the maximal runs equal to ``there``, byte by byte (white space being
+    equal), cut to whole words of ``here`` and of at least ``min_words`` of them. before: the byte before ``here``, empty at a text's start."""
     n = min(len(here), len(there))
-    same = np.frombuffer(here, np.uint8, n) == np.frombuffer(there, np.uint8, n)
+    same = np.frombuffer(here.translate(FLAT), np.uint8, n) == np.frombuffer(there.translate(FLAT), np.uint8, n)
     edge = np.diff(same.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     out = []
     for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
@@ -98,7 +101,9 @@ def equal_spans(here: bytes, there: bytes, min_words: int, before: bytes = b"")
         if e < len(here) and not here[e : e + 1].isspace() and not here[e - 1 : e].isspace():
             cut = here[s:e].rsplit(None, 1)
             e = s + len(cut[0]) if len(cut) > 1 else s
-        words = len(here[s:e].split())
+        own = here[s:e]
+        s, e = e - len(own.lstrip()), s + len(own.rstrip())
+        words = len(own.split())
         if words >= min_words:
             out.append((s, e - s, words))
     return out
@@ -131,7 +136,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             at, out = [], []
             for k, (own, before, other) in enumerate(zip(*(b.column(c).to_pylist() for c in (4, 5, 6)), strict=True)):
                 spans = equal_spans(own, other, min_words, before)

@@ -35,8 +35,8 @@ def canonical_url(url: Column) -> Column:
 
 
 def merge_headers(base: Column, update: Column, permitted: tuple[str, ...] = PERMITTED) -> Column:
-    """``base`` with the permitted fields of ``update``: names are lower-cased, of repeated ones the first counts."""
-    entries = lambda m: F.transform(F.coalesce(F.map_entries(m), F.array().cast("array<struct<key: string, value: string>>")), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    """``base`` with the permitted fields of ``update``: names are lower-cased, of names that differ in case the first in order counts."""
+    entries = lambda m: F.transform(F.array_sort(F.coalesce(F.map_entries(m), F.array().cast("array<struct<key: string, value: string>>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     allowed = F.filter(entries(update), lambda e: e["key"].isin(*permitted))
     all_of = F.concat(allowed, entries(base))
     names = F.array_sort(F.array_distinct(F.transform(all_of, lambda e: e["key"])))
