@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm.common import WORD, materialise, slices, text_bytes, word_hashes, word_spans
 
-SAMPLE = 16_384  # labelled rows used to fit, at most
+SAMPLE = 12_288  # labelled rows used to fit, at most
 WORDS = 512  # hashed words that a head looks at
 DENSE = 16
 _UPPER = np.zeros(256, bool)
