@@ -6,14 +6,17 @@ Each has an offline default that needs no model; errors of a backend become its
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from graphloom import schemas
 from graphloom.functions import text as fn
-from graphloom.operators import ranking
+
+from graphloom.operators import experiment, ranking
 
 Model = Callable[[], Callable[[pd.DataFrame], pd.Series]]
 
@@ -30,7 +33,7 @@ def apply(rows: DataFrame, model: Model, output: str, kind: str, failure) -> Dat
                 frame[output] = [failure(e) if callable(failure) else failure] * len(frame)
             yield frame
 
-    return rows.mapInPandas(run, rows.schema.simpleString().removeprefix("struct<").removesuffix(">") + f",{output}:{kind}" if rows.columns else f"{output} {kind}")
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(output, T.DataType.fromDDL(kind))]))
 
 
 @dataclass
@@ -42,7 +45,7 @@ class Backends:
     score: Model | None = None  # question, triplet -> number
     answer: Model | None = None  # question, context -> text; failure: the error's text
     judge: Model | None = None  # question, intent, context, answer -> JSON of scores; failure: zeros
-    extra: dict[str, Model] = field(default_factory=dict)
+    embed: Model | None = None  # text -> list of numbers; failure: null, which no search finds
 
     def with_keywords(self, questions: DataFrame, question: str = "question") -> DataFrame:
         if self.keywords is None:
@@ -60,6 +63,29 @@ class Backends:
             return rows.withColumn("answer", default)
         return apply(rows, self.answer, "answer", "string", lambda e: f"Error: {e}")
 
+    def with_embedding(self, rows: DataFrame, text: str) -> DataFrame:
+        """``rows`` with embedding array<float>. Offline: words hashed to 64 places, of length one."""
+        if self.embed is not None:
+            made = apply(rows.withColumn("text", F.col(text)) if text != "text" else rows, self.embed, "embedding", "array<float>", None)
+            return made if text == "text" else made.drop("text")
+        places = F.transform(fn.tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(64)))
+        counts = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+        return rows.withColumn("embedding", F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float")))
+
+    def with_judgement(self, answers: DataFrame) -> DataFrame:
+        """answers(question, intent, context, answer, ...) with the three metrics and error. A model's empty reply gives an
+        error and null scores; a model's failure gives zeros."""
+        if self.judge is None:
+            return experiment.evaluate(answers).withColumn("error", F.lit(None).cast("string"))
+        zero = '{"faithfulness_score": 0, "relevance_score": 0, "context_precision_score": 0}'
+        said = apply(answers, self.judge, "__reply", "string", zero)
+        parsed = said.withColumn("__s", F.from_json("__reply", T.DataType.fromDDL(schemas.SCORE)))
+        empty = F.coalesce(F.trim("__reply"), F.lit("")) == ""
+        names = zip(experiment.METRICS, ("faithfulness_score", "relevance_score", "context_precision_score"), strict=True)
+        parsed = parsed.withColumns({m: F.col("__s")[s] for m, s in names})
+        return parsed.withColumn("error", F.when(empty, "empty reply").otherwise(F.col("__s.error"))).drop("__reply", "__s")
+
     def with_triples(self, chunks: DataFrame) -> DataFrame:
         if self.extract is None:
             raise ValueError("the offline default is triples.extract_sentences")

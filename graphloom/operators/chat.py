@@ -14,5 +14,12 @@ def window(messages: DataFrame, last: int = 4, by: str = "conv_id", order: str =
     return messages.withColumn("__k", F.row_number().over(newest)).where(F.col("__k") <= last).drop("__k")
 
 
+def windows(messages: DataFrame, last: int = 4, by: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """For each message the window of the last ones up to it, as one text: what a reply at that point would see."""
+    upto = Window.partitionBy(by).orderBy(order).rowsBetween(1 - last, 0)
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce(text, F.lit("")))
+    return messages.select(by, order, F.array_join(F.collect_list(line).over(upto), "\n").alias("window"))
+
+
 def refusals(messages: DataFrame, text: str = "text") -> DataFrame:
     return messages.where(fn.is_refusal(F.col(text)))

@@ -438,6 +438,11 @@ def chat_window(spark, d):
     return chat.window(table(spark, d, "conversations")).select("conv_id", "turn", "role", "text")
 
 
+@query
+def chat_windows_by_turn(spark, d):
+    return chat.windows(table(spark, d, "conversations"))
+
+
 @query
 def chat_refusals(spark, d):
     said = table(spark, d, "conversations").withColumn("text", F.when(F.col("conv_id") % 5 == 0, F.concat("text", F.lit(" We Cannot Conclude that."))).otherwise(F.col("text")))

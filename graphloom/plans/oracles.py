@@ -191,5 +191,6 @@ SQL: dict[str, str] = {
     "viz_nodes": f"{LIT}, deg as (select id, count(*) as degree from (select src as id from shown union all select dst from shown) group by id) select id, id || ' | tables p.None' as title, {_COLOUR('id in (select id from litn)')} as color, case when id in (select id from litn) then 28.0::double else least(45.0::double, 15 + sqrt(degree) * 2.5) end as size from deg",
     "viz_edges": f"{LIT} select src, rel, dst, {_COLOUR('(src, dst) in (select (src, dst) from lit)')} as color, case when (src, dst) in (select (src, dst) from lit) then 2.5::double else 0.8::double end as width from shown",
     "chat_window": "select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc) as k from conversations) where k <= 4",
+    "chat_windows_by_turn": "select conv_id, turn, string_agg(role || ': ' || text, chr(10)) over (partition by conv_id order by turn rows between 3 preceding and current row) as window from conversations",
     "chat_refusals": "select conv_id, turn, role from conversations where conv_id % 5 = 0 or contains(lower(text), 'cannot conclude')",
 }

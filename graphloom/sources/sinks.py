@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from graphloom.operators import vectors
 from graphloom.sources import tables
 
 
-def add_vectors(new: DataFrame, path: str, batch: int = 100) -> None:
-    """Append to a collection the rows whose id it lacks; ``batch`` rows reach a writer at a time through Arrow limits of
-    the session, not through this call. Nothing is rewritten."""
+def add_vectors(new: DataFrame, path: str) -> None:
+    """Append to a collection the rows whose id it lacks, one for each id. What is stored is never rewritten; partitions
+    are the batches."""
     old = tables.collection(new.sparkSession, path)
-    fresh = vectors.insert(old.limit(0), new.join(old.select("id"), "id", "left_anti").select(old.columns))
+    fresh = new.dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti").select(old.columns)
     fresh.write.mode("append").parquet(path)
 
 

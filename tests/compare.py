@@ -1,6 +1,5 @@
 """Hold a query against its SQL: names, row counts and values, in any order."""
 
-import glob
 import math
 import os
 
