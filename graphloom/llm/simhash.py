@@ -198,9 +198,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialise(fingerprints(docs, id_col, text_col, width, seed), "simhash-fp")
     classes = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-class")
     roots = components(linked(classes.select("fp"), budget), "simhash-cc").withColumnRenamed("node", "fp")
-    classes = classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("first").alias("component"))
-    return rows.join(classes.join(smallest, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    near = classes.join(roots, "fp")
+    # plain tables beside each join on a key that may be hot, so that AQE can split it
+    smallest = materialise(near.groupBy("root").agg(F.min("first").alias("component")), "simhash-smallest")
+    found = near.join(smallest, "root").select("fp", "component")
+    found = materialise(classes.join(found, "fp", "left").select("fp", F.coalesce("component", "first").alias("component")), "simhash-found")
+    return rows.join(found, "fp").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4) -> DataFrame:
