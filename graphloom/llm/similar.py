@@ -1,0 +1,155 @@
+"""Near duplicates by the Jaccard similarity of word shingles: MinHash bands for candidates, exact sets to confirm.
+
+Texts with equal sets of shingles form a class. Classes that agree in one of BANDS bands of ROWS minimum hashes are
+candidates: at a similarity of 0.8 a pair is none with a probability of 0.00003, above with less. Candidates are
+linked if the sets of their texts, made anew, have the similarity.
+
+Distribution: first each class is compared with the smallest of each of its buckets, which joins large groups of
+copies with one row a member; then all pairs of a bucket that are in different components so far. Every candidate pair
+is thus compared or already in one component.
+"""
+
+from __future__ import annotations
+
+from fractions import Fraction
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import components, materialise, slices, text_bytes, word_hashes
+from graphloom.llm.decontam import _pieces
+
+BANDS = 20
+ROWS = 4  # minimum hashes in a band
+SPACE = np.zeros(256, bool)
+SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_RNG = np.random.default_rng(20_240_611)
+_TIMES = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIPS = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2)
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (h ^ x) * _MULT
+    return h ^ (h >> np.uint64(29))
+
+
+def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number of hashes of each text) of the ``width``-word shingles, with repeats: A-Z folded, words between ASCII
+    white space. Fewer words than ``width``: the whole sequence is the only shingle; none: no shingle."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    edge = np.diff((~SPACE[data]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    first = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    bounds = np.concatenate([[0], np.searchsorted(starts, first)])
+    n = np.diff(bounds)
+    count = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
+    text = np.repeat(np.arange(len(texts)), count)
+    at = bounds[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    words = np.append(word_hashes(data, starts, ends), np.zeros(width, np.uint64))
+    out, last = np.zeros(len(at), np.uint64), bounds[1:][text]
+    for k in range(width):
+        out = _mix(out, np.where(at + k < last, words[at + k], np.uint64(0)))
+    return out, count
+
+
+def bands(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(texts with shingles, BANDS) keys of the bands of their minimum hashes."""
+    count = count[count > 0]
+    first = np.cumsum(count) - count
+    out = np.zeros((len(count), BANDS), np.uint64)
+    for b in range(BANDS if len(count) else 0):
+        key = np.full(len(count), b, np.uint64)
+        for r in range(ROWS):
+            key = _mix(key, np.minimum.reduceat((hashes ^ _FLIPS[b, r]) * _TIMES[b, r], first))
+        out[:, b] = key
+    return out
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, text_hash, digest, n, keys): digest and size of the set of shingles and the keys of its bands (none without shingles)."""
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in slices(batches):
+            texts = text_bytes(b.column(2))
+            for lo, hi in _pieces(texts):
+                hashes, count = shingles(texts[lo:hi], width)
+                sets = [np.unique(x) for x in np.split(hashes, np.cumsum(count)[:-1])]
+                digest = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                size = np.array([len(x) for x in sets], np.int32)
+                offsets = np.concatenate([[0], np.cumsum(np.where(count > 0, BANDS, 0))]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands(hashes, count).ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(digest), pa.array(size), keys], ["id", "text_hash", "digest", "n", "keys"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, digest long, n int, keys array<long>")
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
+    """Whether two sets (sorted, distinct) have a Jaccard similarity of ``least`` or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * least.denominator >= least.numerator * (len(a) + len(b) - both)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, least: Fraction) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts(digest, text) are alike."""
+    one = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
+    both = one.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, 128):
+            own = []
+            for side in (2, 3):
+                hashes, count = shingles(text_bytes(batch.column(side)), width)
+                own.append([np.unique(x) for x in np.split(hashes, np.cumsum(count)[:-1])])
+            yield batch.select([0, 1]).filter(pa.array([alike(x, y, least) for x, y in zip(*own, strict=True)], pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
+    """``docs`` without the near duplicates: of each component of links between texts whose sets of ``width``-word
+    shingles have a Jaccard similarity of ``least`` or more, the rows whose id is the smallest stay. Texts without words
+    are alike; rows without an id all stay and link nothing. Columns are unchanged."""
+    known = docs.where(F.col(id_col).isNotNull())
+    rows = materialise(signatures(known, id_col, text_col, width), "similar-rows")
+    classes = materialise(rows.groupBy("digest").agg(F.min("id").alias("first"), F.min(F.struct("id", "text_hash")).alias("sample"), F.max("n").alias("n"), F.max("keys").alias("keys")), "similar-class")
+    found = materialise(classes.select("digest", "n", F.explode("keys").alias("key")), "similar-keys")
+    shared = found.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("__high")).where("low <> __high").select("key", "low")
+    shared = materialise(shared, "similar-shared")  # plain tables beside the joins on keys that may be hot
+    held = materialise(found.join(shared, "key"), "similar-held")
+    sizes = classes.select("digest", "n")
+    near = F.expr(f"least(n, m) * {least.denominator}L >= greatest(n, m) * {least.numerator}L")  # no similarity is larger
+    stars = held.where("digest <> low").select(F.col("low").alias("a"), F.col("digest").alias("b"), "n").distinct()
+    stars = stars.join(sizes.select(F.col("digest").alias("a"), F.col("n").alias("m")), "a").where(near).select("a", "b")
+    stars = materialise(stars, "similar-stars")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        ids = classes.join(ends, "digest").select("digest", F.col("sample.id").alias("id"), F.col("sample.text_hash").alias("text_hash"))
+        own = known.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+        return materialise(own.join(ids, ["id", "text_hash"]).select("digest", "text").dropDuplicates(["digest"]), "similar-texts")
+
+    links = materialise(_confirmed(stars, texts_of(stars), width, least), "similar-links")
+    roots = components(links, "similar-cc").withColumnRenamed("node", "digest")
+    placed = held.join(roots, "digest", "left").select("key", "digest", "n", F.coalesce("root", "digest").alias("root"))
+    placed = materialise(placed, "similar-placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    left = materialise(placed.join(mixed, "key"), "similar-left")
+    other = left.select("key", F.col("digest").alias("b"), F.col("n").alias("m"), F.col("root").alias("__root"))
+    pairs = left.withColumnRenamed("digest", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("__root")) & near)
+    pairs = materialise(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "similar-pairs")
+    links = links.unionByName(_confirmed(pairs, texts_of(pairs), width, least))
+    roots = components(links, "similar-cc").withColumnRenamed("node", "digest")
+    grouped = materialise(classes.join(roots, "digest", "left").select("digest", "first", F.coalesce("root", "digest").alias("root")), "similar-grouped")
+    smallest = materialise(grouped.groupBy("root").agg(F.min("first").alias("component")), "similar-smallest")
+    placed = materialise(grouped.join(smallest, "root").select("digest", "component"), "similar-found")
+    gone = rows.select("id", "digest").join(placed, "digest").where("id <> component").select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
