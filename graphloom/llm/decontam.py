@@ -1,21 +1,24 @@
-"""Benchmark decontamination by latent semantic retrieval, then longest-common-subsequence and answer checks.
+"""Benchmark decontamination by longest-common-subsequence and answer checks, with latent semantic cosines.
 
 1. Statistics, one pass over all documents: words are hashed to TERMS terms, passages are blocks of STRIDE words. Each
    task counts in how many documents a term occurs, and adds its passages' term counts, with random signs, into
    SKETCH random rows. Rows of all tasks are summed. With the terms' idf as column weights this is S A, a random
    sketch of the TF-IDF passage matrix A; its right singular vectors are those of A up to the sketch's error (a
    randomised SVD in one pass). The sums have a fixed size whatever the corpus.
-2. Search, one pass over all documents: windows of two blocks are folded into the latent space (V / sigma), and
-   compared by cosine with the windows of all benchmark items, in blocks of ITEMS items.
-3. Candidates of a cosine of at least ``cosine`` that share enough terms are checked on the words around the window: the longest common
-   subsequence with the item, and with the item's answer (its last sentence, or its last words). A document leaks an
-   item if ``full`` of the item's words are found in order, or ``part`` of them together with the answer.
+2. Search, one pass over all documents: segments of a document's words are compared with all benchmark items, in blocks
+   of ITEMS items. An item is a candidate where the segment has the terms of ``part`` of its words: no leak has less,
+   however frequent its passage is in the corpus.
+3. Candidates are checked on the words around each block: the longest common subsequence with the item, and with the item's
+   answer (its last sentence, or its last words). A document leaks an item if ``full`` of the item's words are found in
+   order, or ``part`` of them together with the answer. The cosine of the leak's window and the item in the latent
+   space (V / sigma) is reported, and decides nothing.
 
 Nothing is sampled, and nothing grows with a document's copies: each row is checked where it is read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -31,7 +34,6 @@ RANK = 128
 STRIDE = 16  # words in a block; a window has two
 ITEMS = 2000  # benchmark items compared at a time
 ITEM_BYTES = 8 << 20  # and at most so many bytes of text
-SHARED = 0.4  # share of an item window's terms that a candidate must have
 LEAST = 5  # shorter items are no evidence
 BATCH = 1 << 20  # bytes of text handled at a time
 SEED = 77
@@ -170,11 +172,7 @@ class Items:
     answers: list[tuple[int, int]]  # words of the answer, from and to
     windows: np.ndarray  # unit vectors of all items' windows
     owner: np.ndarray  # item of each window
-    has: np.ndarray  # (windows, TERMS + 1) terms of each window
-
-    @property
-    def size(self) -> np.ndarray:
-        return self.has.sum(1)
+    groups: list[tuple[int, np.ndarray, np.ndarray]]  # of items by length: longest, item numbers, (TERMS, items) words with each term
 
 
 def answer_span(text: bytes, ends: np.ndarray) -> tuple[int, int]:
@@ -189,7 +187,7 @@ def answer_span(text: bytes, ends: np.ndarray) -> tuple[int, int]:
 
 def prepare(rows: list[tuple], table: np.ndarray) -> Items:
     """Items of (id, text) rows; those of fewer than LEAST words are left out."""
-    ids, words, answers, vectors, owner, has = [], [], [], [], [], []
+    ids, words, answers, vectors, owner = [], [], [], [], []
     for i, text in rows:
         raw = (text or "").encode()
         hashes, _, ends = tokens([raw])
@@ -200,15 +198,20 @@ def prepare(rows: list[tuple], table: np.ndarray) -> Items:
             first = np.arange(s, min(s + 2 * STRIDE, len(hashes)), STRIDE)
             own = block_terms(terms_of(hashes), first, np.full(len(first), len(hashes)))
             vectors.append(table[own].sum((0, 1)))
-            has.append(np.zeros(TERMS + 1, bool))
-            has[-1][own.ravel()] = True
-            has[-1][TERMS] = False
         owner += [len(ids)] * len(at)
         ids.append(i)
         words.append(hashes.tolist())
         answers.append(answer_span(raw, ends))
     v = np.array(vectors, np.float32).reshape(-1, table.shape[1])
-    return Items(ids, words, answers, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-20), np.array(owner, np.int64), np.array(has).reshape(-1, TERMS + 1))
+    length, groups = np.array([len(x) for x in words], np.int64), []
+    level = np.maximum(np.ceil(np.log2(np.maximum(length, 1))), 6)  # up to 64 words, 128, 256, ...
+    for own in (np.flatnonzero(level == k) for k in np.unique(level)):
+        # sums over distinct terms are at most an item's length, so that they fit, too
+        counts = np.zeros((TERMS, len(own)), np.min_scalar_type(int(length[own].max())))
+        for k, i in enumerate(own.tolist()):
+            counts[:, k] = np.bincount(terms_of(np.array(words[i], np.uint64)), minlength=TERMS)
+        groups.append((int(length[own].max()), own, counts))
+    return Items(ids, words, answers, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-20), np.array(owner, np.int64), groups)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -232,50 +235,56 @@ def check(item: list[int], answer: tuple[int, int], near: list[int], least: floa
     return common_subsequence(item, near) / len(item), common_subsequence(tail, near) / max(1, len(tail))
 
 
-def search_texts(texts: list[bytes], items: Items, table: np.ndarray, cosine: float, full: float, part: float, answer: float):
+def search_texts(texts: list[bytes], items: Items, table: np.ndarray, full: float, part: float, answer: float):
     """(text number, item number, cosine, share, answer share) of the leaks: per text and item the best share."""
     out: dict[tuple[int, int], tuple[float, float, float]] = {}
-    size = items.size
+    least = min(full, part)
+    sets = [frozenset(x) for x in items.words]
+    length = np.array([len(x) for x in items.words])
     for lo, hi in _pieces(texts):
         hashes, bounds, _ = tokens(texts[lo:hi])
-        if not len(hashes):
-            continue
-        first, text = blocks_of(bounds)
-        last, term = bounds[1:][text], terms_of(hashes)
-        for b in range(0, len(first), 2048):
-            # one block more than is compared, for the window of the last
-            f, t, e = first[b : b + 2049], text[b : b + 2049], last[b : b + 2049]
-            own = block_terms(term, f, e)
-            sums = table[own].sum(1)
-            n = min(2048, len(f))
-            v = sums[:n].copy()
-            follows = np.flatnonzero(t[1 : n + 1] == t[: len(t[1 : n + 1])])
-            v[follows] += sums[follows + 1]
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-20)
-            s = v @ items.windows.T
-            near, q = np.nonzero(s >= cosine)
-            # a window without SHARED of the item window's terms, in it or the block behind, can't hold the item
-            behind = np.full_like(own[:n], TERMS)
-            behind[follows] = own[follows + 1]
-            met = np.concatenate([own[:n], behind], 1)
-            some = [items.has[q[c : c + 65_536, None], met[near[c : c + 65_536]]].sum(1) >= SHARED * size[q[c : c + 65_536]] for c in range(0, len(q), 65_536)]
-            some = np.concatenate(some) if some else np.zeros(0, bool)
-            near, q = near[some], q[some]
-            for k, w in zip(near.tolist(), q.tolist(), strict=True):
-                i = int(items.owner[w])
-                long = len(items.words[i])
-                d = int(t[k])
-                start, end = max(bounds[d], f[k] - long), min(bounds[d + 1], f[k] + 2 * STRIDE + long)
-                share, tail = check(items.words[i], items.answers[i], hashes[start:end].tolist(), min(full, part))
-                if share >= full or (share >= part and tail >= answer):
-                    old = out.get((lo + d, i), (0.0, 0.0, 0.0))
-                    out[lo + d, i] = max(old, (share, tail, float(s[k, w])))
+        term, words, ends = terms_of(hashes), hashes.tolist(), bounds.tolist()
+        for longest, numbers, counts in items.groups:
+            step, need = STRIDE * max(4, -(-longest // STRIDE)), np.ceil(least * length[numbers] - 1e-9).astype(counts.dtype)
+            seen = np.zeros(TERMS, bool)
+            for d, (b0, b1) in enumerate(zip(ends, ends[1:])):  # noqa: B905
+                for s in range(b0, b1, step):
+                    start, stop = max(b0, s - longest), min(b1, s + step + STRIDE + longest)
+                    # an item with fewer of its words in the whole segment has no longer subsequence in it
+                    seen.fill(False)
+                    seen[term[start:stop]] = True
+                    some = np.add.reduce(counts[seen.nonzero()[0]], 0, counts.dtype) >= need
+                    for i in numbers[some].tolist():
+                        best = _best(words, start, stop, range(s, min(s + step, b1), STRIDE), b0, b1, i, items, sets[i], term, table, full, part, answer)
+                        if best:
+                            out[lo + d, i] = max(out.get((lo + d, i), (0.0, 0.0, 0.0)), best)
     return [(d, i, c, share, tail) for (d, i), (share, tail, c) in sorted(out.items())]
 
 
+def _best(words, start, stop, blocks, b0, b1, i, items, own, term, table, full, part, answer) -> tuple[float, float, float] | None:
+    """(share, answer share, cosine) of the best leak of item ``i`` around one of the ``blocks`` of a text (words b0 to b1)."""
+    item, best, done = items.words[i], None, None
+    need = min(full, part) * len(item)
+    if len(own.intersection(words[start:stop])) < need - (len(item) - len(own)):
+        return None
+    met = [k for k in range(start, stop) if words[k] in own]  # no other word is in a common subsequence
+    for f in blocks:
+        a, z = bisect_left(met, f - len(item)), bisect_left(met, f + 2 * STRIDE + len(item))
+        if z - a < need or (a, z) == done:
+            continue
+        done = a, z
+        share, tail = check(item, items.answers[i], [words[k] for k in met[a:z]], min(full, part))
+        if share >= full or (share >= part and tail >= answer):
+            first = np.arange(f, min(f + 2 * STRIDE, b1), STRIDE)
+            v = table[block_terms(term[b0:b1], first - b0, np.full(len(first), b1 - b0))].sum((0, 1))
+            cosine = float((items.windows[items.owner == i] @ v).max() / max(float(np.linalg.norm(v)), 1e-20))
+            best = max(best or (0.0, 0.0, -1.0), (share, tail, cosine))
+    return best
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    cosine: float = 0.42, full: float = 0.7, part: float = 0.5, answer: float = 0.8,
+    full: float = 0.7, part: float = 0.5, answer: float = 0.8,
 ) -> DataFrame:
     """(id, text_hash, item_id, cosine, share, answer_share): documents and the benchmark items they leak.
 
@@ -297,7 +306,7 @@ def leaks(
             own, to_latent = held.value, table.value
             ids = pa.array(own.ids)
             for b in slices(batches):
-                found = search_texts(text_bytes(b.column(2)), own, to_latent, cosine, full, part, answer)
+                found = search_texts(text_bytes(b.column(2)), own, to_latent, full, part, answer)
                 if found:
                     doc, item, c, share, tail = (list(x) for x in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), ids.take(pa.array(item)), *map(pa.array, (c, share, tail))], ["id", "text_hash", "item_id", "cosine", "share", "answer_share"])

@@ -88,3 +88,27 @@ def test_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, 7, None, None]))
     assert decontam.drop_leaks(odd, items.limit(0)).count() == odd.count()
     assert decontam.leaks(none, items).count() == 0 and decontam.drop_leaks(none, items).count() == 0
+
+
+def test_hot_items_and_half_paraphrases_against_brute_force(spark, sf):
+    """Items in a third of the documents, and leaks of half of an item's words and its whole answer."""
+    rng = random.Random(8)
+    corpus = [r["text"] or "" for r in table(spark, sf, "documents").collect()]
+    pool = sorted({w for t in corpus for w in t.split()})
+    own = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    hot = [own(14) + ".", own(19) + "."]
+    items = [*enumerate(hot), *((10 + k, own(rng.randint(8, 44)) + ". " + own(rng.randint(4, 6)) + ".") for k in range(30))]
+    docs = [(k, t + (f" {hot[k % 2]} {own(rng.randint(5, 60))}" if k % 3 == 0 else "")) for k, t in enumerate(corpus)]
+    for k in range(60):  # 78 % of a hot item's words
+        some = [w if rng.random() < 0.78 else rng.choice(pool) for w in hot[k % 2].split()]
+        docs.append((1000 + k, f"{own(rng.randint(5, 60))} {' '.join(some)} {own(rng.randint(5, 60))}"))
+    for k, t in items[2:]:
+        head, _, tail = t.rpartition(". ")
+        w = head.split()
+        for at in rng.sample(range(len(w)), (len(w) + len(tail.split())) // 2 - 1):
+            w[at] = rng.choice(pool)
+        docs.append((2000 + k, f"{own(rng.randint(20, 60))} {' '.join(w)} {tail} {own(rng.randint(20, 60))}"))
+    found = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["id"], r["item_id"]) for r in found.collect()}
+    want = brute(docs, items)
+    assert len({d for d, _ in want if d >= 2000}) >= 15 and got == want
