@@ -52,7 +52,7 @@ def boundaries(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, start, length, digest) of the indexed chunks; a digest once a text, at its first place."""
+    """(text number, start, length, digest) of the indexed chunks, each at all its places: a text may hold a passage several times."""
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
@@ -62,13 +62,11 @@ def chunk_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         ends = boundaries(np.frombuffer(text, np.uint8))
         size = np.diff(ends, prepend=0)
         long = size >= SHORTEST
-        first: dict[int, tuple[int, int]] = {}
-        for s, e in zip((ends - size)[long].tolist(), ends[long].tolist(), strict=True):
-            first.setdefault(digest(text[s:e]), (s, e - s))
-        rows += [k] * len(first)
-        digests += first
-        starts += [s for s, _ in first.values()]
-        lengths += [n for _, n in first.values()]
+        own = list(zip((ends - size)[long].tolist(), ends[long].tolist(), strict=True))
+        rows += [k] * len(own)
+        digests += [digest(text[s:e]) for s, e in own]
+        starts += [s for s, _ in own]
+        lengths += [e - s for s, e in own]
     return np.array(rows, np.int64), np.array(starts, np.int32), np.array(lengths, np.int32), np.array(digests, np.uint64).view(np.int64)
 
 

@@ -106,3 +106,17 @@ def test_odd_rows(spark, odd, none):
     assert sorted(str(r) for r in out.where("doc_id is null or doc_id <> 9").collect()) == before
     assert {r["text"] for r in out.where("doc_id = 9").collect()} == {"other begin of text  and some other tail"}
     assert substring.remove_repeats(none).count() == 0
+
+
+def test_every_copy_of_a_passage(spark):
+    """A later document holds the passage three times; another has its chunks in another order before it."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    passage = own(60)
+    w = passage.split()
+    parts = " ".join(f"{' '.join(w[k : k + 20])} {own(3)}" for k in range(45, -1, -5))
+    rows = [(0, f"{own(30)} {passage} {own(20)}"), (1, f"{own(9)} {passage} {own(70)} {passage} {own(40)} {passage} {own(5)}"), (2, f"{parts} {own(50)} {passage} {own(7)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in substring.remove_repeats(docs).collect()}
+    assert left == {i: t.replace(passage, "") if i else t for i, t in rows}
