@@ -62,6 +62,19 @@ def slices(batches, rows: int = 1024):
         libc.malloc_trim(0)
 
 
+BATCH = 1 << 20  # bytes of text handled at a time
+
+
+def pieces(texts: list[bytes]):
+    """(from, to) of runs of texts of about BATCH bytes."""
+    lo = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= BATCH or k == len(texts) - 1:
+            yield lo, k + 1
+            lo, size = k + 1, 0
+
+
 # --- vectorised words -------------------------------------------------------------------------------------------
 
 #: 1 for bytes that belong to a word: ASCII letters and digits, and all of UTF-8 beyond ASCII.

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, parts, slices, text_bytes, word_hashes, word_spans
+from graphloom.llm.common import materialise, parts, pieces, slices, text_bytes, word_hashes, word_spans
 
 TERMS = 8192
 SKETCH = 256
@@ -35,7 +35,6 @@ STRIDE = 16  # words in a block; a window has two
 ITEMS = 2000  # benchmark items compared at a time
 ITEM_BYTES = 8 << 20  # and at most so many bytes of text
 LEAST = 5  # shorter items are no evidence
-BATCH = 1 << 20  # bytes of text handled at a time
 SEED = 77
 
 
@@ -71,16 +70,6 @@ def block_terms(term: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     return out
 
 
-def _pieces(texts: list[bytes]):
-    """(from, to) of runs of texts of about BATCH bytes."""
-    lo = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= BATCH or k == len(texts) - 1:
-            yield lo, k + 1
-            lo, size = k + 1, 0
-
-
 # --- statistics ---
 
 
@@ -113,7 +102,7 @@ def statistics(docs: DataFrame, text_col: str = "text", salts: int = 16) -> tupl
         for b in slices(batches):
             texts = text_bytes(b.column(0))
             n += len(texts)
-            for lo, hi in _pieces(texts):
+            for lo, hi in pieces(texts):
                 hashes, bounds, _ = tokens(texts[lo:hi])
                 if not len(hashes):
                     continue
@@ -241,7 +230,7 @@ def search_texts(texts: list[bytes], items: Items, table: np.ndarray, full: floa
     least = min(full, part)
     sets = [frozenset(x) for x in items.words]
     length = np.array([len(x) for x in items.words])
-    for lo, hi in _pieces(texts):
+    for lo, hi in pieces(texts):
         hashes, bounds, _ = tokens(texts[lo:hi])
         term, words, ends = terms_of(hashes), hashes.tolist(), bounds.tolist()
         for longest, numbers, counts in items.groups:
