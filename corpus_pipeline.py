@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontam, quality, similar, substring
+from graphloom.llm import bpe, decontam, quality, simhash, substring
 from graphloom.llm.common import materialise, table
 from graphloom.llm.queries import vocabulary_path
 
@@ -20,8 +20,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return similar.keep_one(docs)
+    """Keeps one document of each group of near duplicates: SimHash candidates, confirmed by a Jaccard similarity of the sets
+    of five-word shingles of 0.8 or more."""
+    return simhash.keep_one_alike(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
