@@ -1,11 +1,11 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over the UTF-8 bytes, h = (h << 1) + gear[byte] mod 2^16, ends a chunk where its top bits are
-zero. A boundary depends on the last 16 bytes only, so it moves with the text: an insertion changes the chunks
-around it and no others. Chunks are deduplicated by digest; a digest that several documents hold has the smallest
-document id as its first holder. Occurrences in later documents are merged along diagonals (position here minus
-position there), then the bytes of both are compared around each diagonal, which gives exact maximal passages.
-Those of at least ``min_words`` words are repeats.
+A gear rolling hash over the UTF-8 bytes, h = (h << 1) + gear[byte] mod 2^16, ends a chunk where it is smallest among
+its neighbours, REACH on either side. A boundary depends on the bytes around it only, so it moves with the text: an
+insertion changes the chunks around it and no others. Chunks are deduplicated by digest; the two smallest documents
+that hold a digest are its holders. Occurrences in later documents are merged along diagonals (position here minus
+position there), then the bytes of both are compared around each diagonal, farther where they are equal up to the
+window's end, which gives exact maximal passages. Those of at least ``min_words`` words are repeats.
 
 Distribution: digests are aggregated with map-side combining, joined by equality (a hot digest is split by AQE), and
 one document costs rows in proportion to its own length, however many documents share a passage with it.
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialise, slices, text_bytes
 
-BITS = 5  # a boundary every 32 bytes
+REACH = 24  # a boundary every 49 bytes, and none nearer than this but for ties
+TIES = 64  # of equal hashes in reach of one another, as in periodic texts, one in so many bytes
 SHORTEST = 16  # shorter chunks are no evidence
-LONGEST = 256  # chunks are cut there at the latest
+AROUND = 512  # bytes compared on either side of a diagonal's chunks, and EDGE of them equal at an end: eight times as many
+EDGE = 128
 WINDOW = 16
 #: White space counts as equal, byte for byte, so that a passage may be wrapped differently.
 FLAT = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
@@ -39,16 +41,22 @@ def boundaries(data: np.ndarray) -> np.ndarray:
         older[step:] = h[:-step] << np.uint16(step)
         h = h + older
         step *= 2
-    ends = np.flatnonzero(h >> np.uint16(16 - BITS) == 0) + 1
-    if not len(ends) or ends[-1] != len(data):
-        ends = np.append(ends, len(data))
-    sizes = np.diff(ends, prepend=0)
-    if sizes.max() > LONGEST:
-        pieces = -(-sizes // LONGEST)
-        starts = np.repeat(ends - sizes, pieces)
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        ends = np.minimum(starts + (nth + 1) * LONGEST, np.repeat(ends, pieces))
-    return ends
+    n = len(data)
+    least = np.full(n + 2 * REACH, 0xFFFF, np.uint16)
+    least[REACH : REACH + n] = h
+    span = 1
+    while span < 2 * REACH + 1:  # least covers `span` positions from here on
+        more = min(span, 2 * REACH + 1 - span)
+        least = np.minimum(least[: len(least) - more], least[more:])
+        span += more
+    ends = np.flatnonzero(h == least) + 1
+    far = np.diff(ends, prepend=-REACH - 1) > REACH
+    if not far.all():
+        chain = np.cumsum(far) - 1
+        nth = (ends - ends[far][chain]) // TIES
+        far[1:] |= nth[1:] != nth[:-1]
+        ends = ends[far]
+    return ends if len(ends) and ends[-1] == n else np.append(ends, n)
 
 
 def chunk_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,43 +118,77 @@ def equal_spans(here: bytes, there: bytes, min_words: int, before: bytes = b"")
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """(id, text_hash, first_id, start, length, words): passages of at least ``min_words`` words (between ASCII white
     space) of a document that an earlier one (smaller id) holds too; start and length are in UTF-8 bytes. Overlapping
-    finds of a document are merged; first_id is then the smallest.
+    finds of a document are merged; first_id is then the smallest, and words the largest of their numbers of words.
 
     Repeats within one document are none. Null ids and null or empty texts have no repeats. Rows that share an id
-    are one document's versions: never repeats of each other, and told apart by text_hash. Other columns are not read.
+    are one document's versions: never repeats of each other, and told apart by text_hash. An empty table gives an empty
+    result. Other columns are not read. A passage between whose ends no chunk lies that one of the holders has beside
+    it is missed: see the README for how many are.
     """
     found = materialise(chunks(docs, id_col, text_col), "substring-chunks")
-    shared = found.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("__last")).where("first_id <> __last").drop("__last")
+    shared = found.groupBy("digest").agg(F.min("id").alias("least_id"), F.max("id").alias("__last")).where("least_id <> __last").drop("__last")
     shared = materialise(shared, "substring-shared")  # a plain table beside each join, so that AQE can split a hot digest
     held = materialise(found.join(shared, "digest"), "substring-held")
-    firsts = materialise(held.where("id = first_id").groupBy("digest").agg(F.min("start").alias("there")), "substring-firsts")
-    pairs = held.where("id <> first_id").join(firsts, "digest")
+    first = held.where("id = least_id").groupBy("digest").agg(F.min(F.struct("id", "start")).alias("h"))
+    second = held.where("id <> least_id").groupBy("digest").agg(F.min(F.struct("id", "start")).alias("h"))
+    holders = first.unionByName(second).select("digest", F.col("h.id").alias("first_id"), F.col("h.start").alias("there"))
+    holders = materialise(holders, "substring-holders")
+    pairs = held.where("id <> least_id").join(holders, "digest").where("first_id < id")
     pairs = pairs.withColumn("shift", F.col("start") - F.col("there"))
     runs = pairs.groupBy("id", "first_id", "shift").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("length")).alias("high"))
-    runs = runs.select("*", F.greatest(F.col("low") - 2 * LONGEST, F.lit(0), F.col("shift")).alias("from"), (F.col("high") + 2 * LONGEST).alias("to"))
-    runs = materialise(runs.select("id", "first_id", F.col("from").alias("here"), (F.col("from") - F.col("shift")).alias("there"), (F.col("to") - F.col("from")).alias("size")), "substring-runs")
+    runs = materialise(runs.withColumn("around", F.lit(AROUND)), "substring-runs")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
-    here = runs.join(texts, "id").select("id", "first_id", "here", "there", "size", F.xxhash64("text").alias("text_hash"), F.expr("substring(text, here + 1, size + 1)").alias("own"), F.expr("if(here > 0, substring(text, here, 1), cast('' as binary))").alias("before"))
-    ends = runs.select("first_id", "there", "size").distinct().join(texts.withColumnRenamed("id", "first_id"), "first_id").select("first_id", "there", "size", F.expr("substring(text, there + 1, size)").alias("other"))
-    both = here.join(ends, ["first_id", "there", "size"]).select("id", "first_id", "here", "text_hash", "own", "before", "other")
+    spans = None
+    while True:  # at most as many rounds as it takes from AROUND to the longest text, by factors of eight
+        seen = materialise(_compared(runs, texts, min_words), "substring-spans")
+        closed = seen.where("around is null").select("id", "first_id", "text_hash", "start", "length", "words")
+        spans = closed if spans is None else spans.unionByName(closed)
+        runs = seen.where("around is not null").select("id", "first_id", "shift", "low", "high", (F.col("around") * 8).alias("around")).distinct()
+        if runs.isEmpty():
+            return _merged(spans)
+
+
+def _compared(runs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+    """The passages (id, first_id, text_hash, start, length, words) of runs(id, first_id, shift, low, high, around), whose
+    bytes are compared from ``around`` before low to ``around`` behind high; a window that is equal up to an end, where the
+    texts go on, is given back instead (around is null in the rows of passages)."""
+    begin = F.greatest(F.col("low") - F.col("around"), F.lit(0), F.col("shift"))
+    runs = runs.withColumn("here", begin).withColumns({"there": F.col("here") - F.col("shift"), "size": F.col("high") + F.col("around") - F.col("here")})
+    window = lambda at: F.expr(f"substring(text, {at} + 1, size + 1)")
+    here = runs.join(texts, "id").select(*runs.columns, F.xxhash64("text").alias("text_hash"), window("here").alias("own"), F.expr("if(here > 0, substring(text, here, 1), cast('' as binary))").alias("before"))
+    ends = runs.select("first_id", "there", "size").distinct().join(texts.withColumnRenamed("id", "first_id"), "first_id").select("first_id", "there", "size", window("there").alias("other"))
+    names = ["id", "first_id", "text_hash", "shift", "low", "high", "around", "here", "there", "size", "own", "before", "other"]
+    both = here.join(ends, ["first_id", "there", "size"]).select(*names)
     kind = both.schema["id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         for b in slices(batches):
-            at, out = [], []
-            for k, (own, before, other) in enumerate(zip(*(b.column(c).to_pylist() for c in (4, 5, 6)), strict=True)):
-                spans = equal_spans(own, other, min_words, before)
+            at, out, again = [], [], []
+            for k, (first, there, size, own, before, other) in enumerate(zip(*(b.column(c).to_pylist() for c in (7, 8, 9, 10, 11, 12)), strict=True)):
+                if _goes_on(own, other, size, first > 0 and there > 0):
+                    again.append(k)
+                    continue
+                spans = equal_spans(own, other[:size], min_words, before)
                 at += [k] * len(spans)
-                out += spans
-            base = b.select([0, 1, 3, 2]).take(pa.array(at, pa.int64()))
-            start, length, words = (np.array([s[c] for s in out], np.int32) for c in range(3))
-            start = start + base.column(3).to_numpy()
-            yield pa.RecordBatch.from_arrays([*base.columns[:3], *map(pa.array, (start, length, words))], ["id", "first_id", "text_hash", "start", "length", "words"])
-
-    spans = both.mapInArrow(run, f"id {kind}, first_id {kind}, text_hash long, start int, length int, words int")
-    return _merged(spans)
+                out += [(first + s, n, w) for s, n, w in spans]
+            rows = b.select(range(7)).take(pa.array(at + again, pa.int64()))
+            none = [None] * len(again)
+            around = pa.array([None] * len(at) + rows.column(6).to_pylist()[len(at) :], pa.int32())
+            made = [pa.array([s[c] for s in out] + none, pa.int32()) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:6], around, *made], [*names[:7], "start", "length", "words"])
+
+    return both.mapInArrow(run, f"id {kind}, first_id {kind}, text_hash long, shift int, low int, high int, around int, start int, length int, words int")
+
+
+def _goes_on(own: bytes, other: bytes, size: int, left: bool) -> bool:
+    """Whether EDGE bytes are equal at an end of two windows of ``size`` bytes (and one more, if the text has it)."""
+    if size < EDGE:
+        return False
+    if left and own[:EDGE].translate(FLAT) == other[:EDGE].translate(FLAT):
+        return True
+    return min(len(own), len(other)) > size and own[size - EDGE : size].translate(FLAT) == other[size - EDGE : size].translate(FLAT)
 
 
 def _merged(spans: DataFrame) -> DataFrame:

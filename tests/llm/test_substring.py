@@ -9,16 +9,22 @@ from graphloom.llm.common import table
 
 
 def rolled(data: bytes) -> list[int]:
-    """Boundaries by the rolling definition, byte by byte."""
-    h, ends, last = 0, [], 0
-    for k, b in enumerate(data):
+    """Boundaries by the definition, byte by byte."""
+    h, hashes = 0, []
+    for b in data:
         h = ((h << 1) + int(substring.GEAR[b])) & 0xFFFF
-        if h >> (16 - substring.BITS) == 0 or k == len(data) - 1:
-            while k + 1 - last > substring.LONGEST:
-                last += substring.LONGEST
-                ends.append(last)
-            ends.append(k + 1)
-            last = k + 1
+        hashes.append(h)
+    ends, chain, last = [], 0, None
+    for k, h in enumerate(hashes):
+        if h == min(hashes[max(0, k - substring.REACH) : k + substring.REACH + 1]):
+            if last is None or k - last > substring.REACH:
+                chain = k
+                ends.append(k + 1)
+            elif (k - chain) // substring.TIES != (last - chain) // substring.TIES:
+                ends.append(k + 1)
+            last = k
+    if data and (not ends or ends[-1] != len(data)):
+        ends.append(len(data))
     return ends
 
 
@@ -70,8 +76,8 @@ def test_query_against_brute_force(spark, sf):
     grams = {}
     for i, t in texts.items():
         w = t.split()
-        for k in range(len(w) - 54):
-            grams.setdefault(" ".join(w[k : k + 55]), set()).add(i)
+        for k in range(len(w) - 49):
+            grams.setdefault(" ".join(w[k : k + 50]), set()).add(i)
     surely = {i for ids in grams.values() if len(ids) > 1 for i in ids if i != min(ids)}
     rows = queries.op9_substring(spark, sf).collect()
     assert surely <= {r["doc_id"] for r in rows}
@@ -120,3 +126,18 @@ def test_every_copy_of_a_passage(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = {r["doc_id"]: r["text"] for r in substring.remove_repeats(docs).collect()}
     assert left == {i: t.replace(passage, "") if i else t for i, t in rows}
+
+
+def test_passages_longer_than_the_window(spark):
+    """The passage's chunks but a few are held by earlier documents that lack the passage."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    passage = own(2000)
+    w = passage.split()
+    lines = [(k // 40, " ".join(w[k : k + 40])) for k in range(0, 2000, 40) if k != 1000]
+    rows = [(i, f"{own(5)} {x} {own(5)}") for i, x in lines] + [(100 + i, f"{own(5)} {x} {own(5)}") for i, x in lines]
+    rows += [(200, f"{own(30)} {passage} {own(20)}"), (201, f"{own(9)} {passage} {own(70)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in substring.remove_repeats(docs).collect()}
+    assert left == {i: t.replace(passage, "") if i == 201 else t for i, t in rows}
