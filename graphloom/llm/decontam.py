@@ -1,8 +1,8 @@
 """Benchmark decontamination by longest-common-subsequence and answer checks, with latent semantic cosines.
 
 1. Statistics, one pass over all documents: words are hashed to TERMS terms, passages are blocks of STRIDE words. Each
-   task counts in how many documents a term occurs, and adds its passages' term counts, with random signs, into
-   SKETCH random rows. Rows of all tasks are summed. With the terms' idf as column weights this is S A, a random
+   task counts in how many documents a term occurs, and adds its passages' term counts (0 or 1), with signs and into one of
+   SKETCH rows drawn by a hash of the document and the passage's place. Rows of all tasks are summed. With the terms' idf as column weights this is S A, a random
    sketch of the TF-IDF passage matrix A; its right singular vectors are those of A up to the sketch's error (a
    randomised SVD in one pass). The sums have a fixed size whatever the corpus.
 2. Search, one pass over all documents: segments of a document's words are compared with all benchmark items, in blocks
@@ -21,6 +21,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -73,34 +74,43 @@ def block_terms(term: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
 # --- statistics ---
 
 
-def _sums(rows: DataFrame, keys: int, width: int) -> DataFrame:
-    """Sums of the vectors of rows(r, salt, data), in each partition: at most ``keys`` vectors are held."""
+def _sums(rows: DataFrame, keys: int, kind: str) -> DataFrame:
+    """Sums of the vectors (``kind``: int32 or int64) of rows(r, salt, data), in each partition: at most ``keys`` are held."""
 
     def run(batches):
         import pyarrow as pa
 
-        held: dict[tuple[int, int], np.ndarray] = defaultdict(lambda: np.zeros(width))
+        held: dict[tuple[int, int], np.ndarray] = defaultdict(lambda: np.zeros(TERMS, np.int64))
         for b in batches:
             for r, salt, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held[r, salt] += np.frombuffer(data, np.float32)
+                held[r, salt] += np.frombuffer(data, kind)
         for (r, salt), v in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([salt], pa.int32()), pa.array([v.astype(np.float32).tobytes()])], ["r", "salt", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([salt], pa.int32()), pa.array([v.tobytes()])], ["r", "salt", "data"])
 
     return rows.mapInArrow(run, "r int, salt int, data binary")
 
 
-def statistics(docs: DataFrame, text_col: str = "text", salts: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sketch of the passages' term counts, documents with each term, documents) over all rows of ``docs``."""
+def draws(keys: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sketch row, sign is plus) of the blocks ``nth`` of documents with the hashes ``keys``, whatever task they are in."""
+    x = (keys.view(np.uint64) ^ np.uint64(SEED)) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+    x ^= x >> np.uint64(31)
+    return (x % np.uint64(SKETCH)).astype(np.int64), (x >> np.uint64(63)) == 1
+
+
+def statistics(rows: DataFrame, salts: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sketch of the passages' term counts, documents with each term, documents) over all rows(key, text). All sums are
+    exact integers, so the order and the layout of the rows do not matter."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        rng = np.random.default_rng([SEED, task])
-        sketch, with_term, n = np.zeros((SKETCH, TERMS), np.int32), np.zeros(TERMS, np.int64), 0
+        sketch, with_term, n = np.zeros((SKETCH, TERMS), np.int32), np.zeros(TERMS, np.int32), 0
         for b in slices(batches):
-            texts = text_bytes(b.column(0))
+            texts, keys = text_bytes(b.column(1)), b.column(0).to_numpy()
             n += len(texts)
             for lo, hi in pieces(texts):
                 hashes, bounds, _ = tokens(texts[lo:hi])
@@ -109,7 +119,7 @@ def statistics(docs: DataFrame, text_col: str = "text", salts: int = 16) -> tupl
                 term = terms_of(hashes)
                 first, text = blocks_of(bounds)
                 own = block_terms(term, first, bounds[1:][text]).astype(np.int64)
-                row, plus = rng.integers(0, SKETCH, len(first)), rng.random(len(first)) < 0.5
+                row, plus = draws(keys[lo:hi][text], (first - bounds[:-1][text]) // STRIDE)
                 at, there = row[:, None] * TERMS + own, own < TERMS
                 for half, step in ((plus, 1), (~plus, -1)):
                     sketch += step * np.bincount(at[half][there[half]], minlength=SKETCH * TERMS).reshape(SKETCH, TERMS).astype(np.int32)
@@ -118,22 +128,22 @@ def statistics(docs: DataFrame, text_col: str = "text", salts: int = 16) -> tupl
                     doc = np.repeat(np.arange(min(64, hi - lo - d)), np.diff(bounds[d : d + 65]))
                     seen = np.zeros((64, TERMS), np.uint8)
                     seen[doc, term[s:e]] = 1
-                    with_term += seen.sum(0, dtype=np.int64)
+                    with_term += seen.sum(0, dtype=np.int32)
         if n:
-            extra = np.zeros((2, TERMS), np.float32)
+            extra = np.zeros((2, TERMS), np.int32)
             extra[0], extra[1, 0] = with_term, n
             for k in range(0, SKETCH + 2, 32):
-                data = [x.astype(np.float32).tobytes() for x in (*sketch, *extra)[k : k + 32]]
+                data = [x.tobytes() for x in (*sketch, *extra)[k : k + 32]]
                 yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(data)), pa.int32()), pa.array([task % salts] * len(data), pa.int32()), pa.array(data)], ["r", "salt", "data"])
 
-    spark = docs.sparkSession
-    made = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "r int, salt int, data binary")
-    once = _sums(made.repartition(parts(spark), "r", "salt"), (SKETCH + 2) * salts, TERMS)
-    once = _sums(once.withColumn("salt", F.lit(0)).repartition(parts(spark), "r", "salt"), SKETCH + 2, TERMS)
-    out = np.zeros((SKETCH + 2, TERMS))
+    spark = rows.sparkSession
+    made = rows.select("key", "text").mapInArrow(run, "r int, salt int, data binary")
+    once = _sums(made.repartition(parts(spark), "r", "salt"), (SKETCH + 2) * salts, "int32")
+    once = _sums(once.withColumn("salt", F.lit(0)).repartition(parts(spark), "r", "salt"), SKETCH + 2, "int64")
+    out = np.zeros((SKETCH + 2, TERMS), np.int64)
     for r in once.select("r", "data").collect():  # SKETCH + 2 rows of a fixed size
-        out[r["r"]] = np.frombuffer(r["data"], np.float32)
-    return out[:SKETCH], out[SKETCH], int(out[SKETCH + 1, 0])
+        out[r["r"]] = np.frombuffer(r["data"], np.int64)
+    return out[:SKETCH].astype(np.float64), out[SKETCH], int(out[SKETCH + 1, 0])
 
 
 def latent(sketch: np.ndarray, with_term: np.ndarray, n: int, rank: int = RANK) -> np.ndarray:
@@ -159,8 +169,6 @@ class Items:
     ids: list
     words: list[list[int]]
     answers: list[tuple[int, int]]  # words of the answer, from and to
-    windows: np.ndarray  # unit vectors of all items' windows
-    owner: np.ndarray  # item of each window
     groups: list[tuple[int, np.ndarray, np.ndarray]]  # of items by length: longest, item numbers, (TERMS, items) words with each term
 
 
@@ -174,24 +182,17 @@ def answer_span(text: bytes, ends: np.ndarray) -> tuple[int, int]:
     return max(0, n - max(4, n // 4)), n
 
 
-def prepare(rows: list[tuple], table: np.ndarray) -> Items:
+def prepare(rows: list[tuple]) -> Items:
     """Items of (id, text) rows; those of fewer than LEAST words are left out."""
-    ids, words, answers, vectors, owner = [], [], [], [], []
+    ids, words, answers = [], [], []
     for i, text in rows:
         raw = (text or "").encode()
         hashes, _, ends = tokens([raw])
         if len(hashes) < LEAST:
             continue
-        at = sorted({*range(0, max(1, len(hashes) - 2 * STRIDE + 1), STRIDE), max(0, len(hashes) - 2 * STRIDE)})
-        for s in at:
-            first = np.arange(s, min(s + 2 * STRIDE, len(hashes)), STRIDE)
-            own = block_terms(terms_of(hashes), first, np.full(len(first), len(hashes)))
-            vectors.append(table[own].sum((0, 1)))
-        owner += [len(ids)] * len(at)
         ids.append(i)
         words.append(hashes.tolist())
         answers.append(answer_span(raw, ends))
-    v = np.array(vectors, np.float32).reshape(-1, table.shape[1])
     length, groups = np.array([len(x) for x in words], np.int64), []
     level = np.maximum(np.ceil(np.log2(np.maximum(length, 1))), 6)  # up to 64 words, 128, 256, ...
     for own in (np.flatnonzero(level == k) for k in np.unique(level)):
@@ -200,7 +201,23 @@ def prepare(rows: list[tuple], table: np.ndarray) -> Items:
         for k, i in enumerate(own.tolist()):
             counts[:, k] = np.bincount(terms_of(np.array(words[i], np.uint64)), minlength=TERMS)
         groups.append((int(length[own].max()), own, counts))
-    return Items(ids, words, answers, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-20), np.array(owner, np.int64), groups)
+    return Items(ids, words, answers, groups)
+
+
+def vectors_of(term: np.ndarray, starts: list[int], last: int, table: np.ndarray) -> np.ndarray:
+    """Unit latent vectors of the windows of two blocks at the words ``starts`` of a text of ``last`` words."""
+    v = np.zeros((len(starts), table.shape[1]))
+    for k, s in enumerate(starts):
+        first = np.arange(s, min(s + 2 * STRIDE, last), STRIDE)
+        v[k] = table[block_terms(term, first, np.full(len(first), last))].sum((0, 1), dtype=np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-20)
+
+
+def item_vectors(words: list[int], table: np.ndarray) -> np.ndarray:
+    """The vectors of an item's windows."""
+    n = len(words)
+    at = sorted({*range(0, max(1, n - 2 * STRIDE + 1), STRIDE), max(0, n - 2 * STRIDE)})
+    return vectors_of(terms_of(np.array(words, np.uint64)), at, n, table)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -228,7 +245,7 @@ def search_texts(texts: list[bytes], items: Items, table: np.ndarray, full: floa
     """(text number, item number, cosine, share, answer share) of the leaks: per text and item the best share."""
     out: dict[tuple[int, int], tuple[float, float, float]] = {}
     least = min(full, part)
-    sets = [frozenset(x) for x in items.words]
+    sets, vectors = [frozenset(x) for x in items.words], {}
     length = np.array([len(x) for x in items.words])
     for lo, hi in pieces(texts):
         hashes, bounds, _ = tokens(texts[lo:hi])
@@ -244,14 +261,18 @@ def search_texts(texts: list[bytes], items: Items, table: np.ndarray, full: floa
                     seen[term[start:stop]] = True
                     some = np.add.reduce(counts[seen.nonzero()[0]], 0, counts.dtype) >= need
                     for i in numbers[some].tolist():
-                        best = _best(words, start, stop, range(s, min(s + step, b1), STRIDE), b0, b1, i, items, sets[i], term, table, full, part, answer)
+                        best = _best(words, start, stop, range(s, min(s + step, b1), STRIDE), b0, b1, i, items, sets[i], full, part, answer)
                         if best:
-                            out[lo + d, i] = max(out.get((lo + d, i), (0.0, 0.0, 0.0)), best)
+                            if i not in vectors:
+                                vectors[i] = item_vectors(items.words[i], table)
+                            share, tail, f = best
+                            cosine = float((vectors[i] @ vectors_of(term[b0:b1], [f - b0], b1 - b0, table)[0]).max())
+                            out[lo + d, i] = max(out.get((lo + d, i), (0.0, 0.0, 0.0)), (share, tail, cosine))
     return [(d, i, c, share, tail) for (d, i), (share, tail, c) in sorted(out.items())]
 
 
-def _best(words, start, stop, blocks, b0, b1, i, items, own, term, table, full, part, answer) -> tuple[float, float, float] | None:
-    """(share, answer share, cosine) of the best leak of item ``i`` around one of the ``blocks`` of a text (words b0 to b1)."""
+def _best(words, start, stop, blocks, b0, b1, i, items, own, full, part, answer) -> tuple[float, float, int] | None:
+    """(share, answer share, block) of the best leak of item ``i`` around one of the ``blocks`` of a text (words b0 to b1)."""
     item, best, done = items.words[i], None, None
     need = min(full, part) * len(item)
     if len(own.intersection(words[start:stop])) < need - (len(item) - len(own)):
@@ -264,10 +285,7 @@ def _best(words, start, stop, blocks, b0, b1, i, items, own, term, table, full,
         done = a, z
         share, tail = check(item, items.answers[i], [words[k] for k in met[a:z]], min(full, part))
         if share >= full or (share >= part and tail >= answer):
-            first = np.arange(f, min(f + 2 * STRIDE, b1), STRIDE)
-            v = table[block_terms(term[b0:b1], first - b0, np.full(len(first), b1 - b0))].sum((0, 1))
-            cosine = float((items.windows[items.owner == i] @ v).max() / max(float(np.linalg.norm(v)), 1e-20))
-            best = max(best or (0.0, 0.0, -1.0), (share, tail, cosine))
+            best = max(best or (0.0, 0.0, -1), (share, tail, f))
     return best
 
 
@@ -282,12 +300,14 @@ def leaks(
     an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text")).where("length(text) > 0")
-    table = spark.sparkContext.broadcast(latent(*statistics(rows, "text")))  # TERMS x RANK, whatever the input
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).where("length(text) > 0")
+    table = spark.sparkContext.broadcast(latent(*statistics(rows.select(F.xxhash64("id", "text_hash").alias("key"), "text"))))  # TERMS x RANK, whatever the input
     kind, item_kind = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
 
     def pass_over(items: Items) -> DataFrame:
-        held = spark.sparkContext.broadcast(items)  # at most ITEMS items of ITEM_BYTES bytes
+        # words of ITEM_BYTES bytes of text, or of one item that is longer, and TERMS x ITEMS counts
+        held = spark.sparkContext.broadcast(items)
 
         def run(batches):
             import pyarrow as pa
@@ -303,16 +323,18 @@ def leaks(
         return rows.mapInArrow(run, f"id {kind}, text_hash long, item_id {item_kind}, cosine double, share double, answer_share double")
 
     out, block, size = None, [], 0
-    for r in (*benchmark.select(item_col, item_text).where(f"{item_text} is not null").orderBy(item_col, item_text).toLocalIterator(), None):
-        if block and (r is None or len(block) == ITEMS or size + len(r[1]) > ITEM_BYTES):
-            own = prepare(block, table.value)
-            if own.ids:
-                found = pass_over(own)
+    asked = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").orderBy("i", "t")
+    for r in chain(asked.toLocalIterator(), [None]):  # a block is held at a time
+        own = len(r["t"].encode()) if r else 0
+        if block and (r is None or len(block) == ITEMS or size + own > ITEM_BYTES):
+            items = prepare(block)
+            if items.ids:
+                found = pass_over(items)
                 out = found if out is None else out.unionByName(found)
             block, size = [], 0
         if r is not None:
-            block.append((r[0], r[1]))
-            size += len(r[1])
+            block.append((r["i"], r["t"]))
+            size += own
     return spark.createDataFrame([], f"id {kind}, text_hash long, item_id {item_kind}, cosine double, share double, answer_share double") if out is None else out
 
 

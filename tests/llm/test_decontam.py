@@ -112,3 +112,38 @@ def test_hot_items_and_half_paraphrases_against_brute_force(spark, sf):
     got = {(r["id"], r["item_id"]) for r in found.collect()}
     want = brute(docs, items)
     assert len({d for d, _ in want if d >= 2000}) >= 15 and got == want
+
+
+def test_results_do_not_depend_on_the_layout(spark, sf):
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    two, nine = (sorted(map(str, decontam.leaks(docs.repartition(n, "n_chars"), items).collect())) for n in (2, 9))
+    assert two and two == nine
+
+
+def test_long_items_against_brute_force(spark, sf):
+    """Items of 60 to 500 words, kept whole, with a sixth of the words changed, or by half and with the answer."""
+    rng = random.Random(15)
+    corpus = [r["text"] or "" for r in table(spark, sf, "documents").limit(40).collect()]
+    pool = sorted({w for t in corpus for w in t.split()})
+    own = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    items = [(k, own(rng.choice([60, 130, 250, 500])) + ". " + own(6) + ".") for k in range(16)]
+    docs = [(100 + k, t) for k, t in enumerate(corpus)]
+    for k, t in items:
+        w = t.split()
+        for at in rng.sample(range(len(w) - 7), [0, len(w) // 6, len(w) * 45 // 100, len(w) * 6 // 10][k % 4]):
+            w[at] = rng.choice(pool)
+        docs.append((k, f"{own(rng.randint(0, 300))} {' '.join(w)} {own(rng.randint(0, 300))}"))
+    found = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["id"], r["item_id"]) for r in found.collect()}
+    assert got == brute(docs, items) and {(k, k) for k in range(16) if k % 4 < 3} <= got
+
+
+def test_size_of_what_is_broadcast():
+    """It follows the bytes of a block's items, and the table of counts has a fixed number of rows."""
+    import pickle
+
+    rng = random.Random(3)
+    for n in (50, 100):
+        items = decontam.prepare([(k, " ".join(f"w{rng.randrange(9999)}" for _ in range(600))) for k in range(n)])
+        counts = sum(c.nbytes for _, _, c in items.groups)
+        assert counts == decontam.TERMS * n * 2 and len(pickle.dumps(items)) < counts + 16 * 600 * n
