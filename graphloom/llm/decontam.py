@@ -237,8 +237,11 @@ def check(item: list[int], answer: tuple[int, int], near: list[int], least: floa
     """Shares of the item's and of its answer's words that ``near`` has in order; zeros, if the first is below ``least``."""
     if sum(map(set(near).__contains__, item)) < least * len(item):  # no subsequence is longer
         return 0.0, 0.0
+    share = common_subsequence(item, near) / len(item)
+    if share < least:
+        return 0.0, 0.0
     tail = item[answer[0] : answer[1]]
-    return common_subsequence(item, near) / len(item), common_subsequence(tail, near) / max(1, len(tail))
+    return share, common_subsequence(tail, near) / max(1, len(tail))
 
 
 def search_texts(texts: list[bytes], items: Items, table: np.ndarray, full: float, part: float, answer: float):
@@ -259,8 +262,11 @@ def search_texts(texts: list[bytes], items: Items, table: np.ndarray, full: floa
                     # an item with fewer of its words in the whole segment has no longer subsequence in it
                     seen.fill(False)
                     seen[term[start:stop]] = True
-                    some = np.add.reduce(counts[seen.nonzero()[0]], 0, counts.dtype) >= need
-                    for i in numbers[some].tolist():
+                    some = numbers[np.add.reduce(counts[seen.nonzero()[0]], 0, counts.dtype) >= need].tolist()
+                    here = set(words[start:stop]) if some else ()
+                    for i in some:
+                        if not _possible(here, items.words[i], items.answers[i], full, part, answer):
+                            continue
                         best = _best(words, start, stop, range(s, min(s + step, b1), STRIDE), b0, b1, i, items, sets[i], full, part, answer)
                         if best:
                             if i not in vectors:
@@ -271,19 +277,29 @@ def search_texts(texts: list[bytes], items: Items, table: np.ndarray, full: floa
     return [(d, i, c, share, tail) for (d, i), (share, tail, c) in sorted(out.items())]
 
 
+def _possible(here: set[int], item: list[int], span: tuple[int, int], full: float, part: float, answer: float) -> bool:
+    """Whether a text of the words ``here`` in some order could leak the item: no common subsequence is longer than the
+    number of words found."""
+    share = sum(map(here.__contains__, item)) / len(item)
+    if share < min(full, part):
+        return False
+    return share >= full or sum(map(here.__contains__, item[span[0] : span[1]])) / max(1, span[1] - span[0]) >= answer
+
+
 def _best(words, start, stop, blocks, b0, b1, i, items, own, full, part, answer) -> tuple[float, float, int] | None:
     """(share, answer share, block) of the best leak of item ``i`` around one of the ``blocks`` of a text (words b0 to b1)."""
-    item, best, done = items.words[i], None, None
+    item, span, best, done = items.words[i], items.answers[i], None, None
     need = min(full, part) * len(item)
-    if len(own.intersection(words[start:stop])) < need - (len(item) - len(own)):
-        return None
     met = [k for k in range(start, stop) if words[k] in own]  # no other word is in a common subsequence
     for f in blocks:
         a, z = bisect_left(met, f - len(item)), bisect_left(met, f + 2 * STRIDE + len(item))
         if z - a < need or (a, z) == done:
             continue
         done = a, z
-        share, tail = check(item, items.answers[i], [words[k] for k in met[a:z]], min(full, part))
+        near = [words[k] for k in met[a:z]]
+        if not _possible(set(near), item, span, full, part, answer):
+            continue
+        share, tail = check(item, span, near, min(full, part))
         if share >= full or (share >= part and tail >= answer):
             best = max(best or (0.0, 0.0, -1), (share, tail, f))
     return best
