@@ -138,12 +138,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     runs = pairs.groupBy("id", "first_id", "shift").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("length")).alias("high"))
     runs = materialise(runs.withColumn("around", F.lit(AROUND)), "substring-runs")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
+    needed = materialise(runs.select(F.explode(F.array("id", "first_id")).alias("id")).distinct(), "substring-needed")
+    texts = materialise(texts.join(needed, "id", "left_semi"), "substring-texts")  # the others are not shuffled if these are few
     spans = None
     while True:  # at most as many rounds as it takes from AROUND to the longest text, by factors of eight
         seen = materialise(_compared(runs, texts, min_words), "substring-spans")
         closed = seen.where("around is null").select("id", "first_id", "text_hash", "start", "length", "words")
         spans = closed if spans is None else spans.unionByName(closed)
         runs = seen.where("around is not null").select("id", "first_id", "shift", "low", "high", (F.col("around") * 8).alias("around")).distinct()
+        runs = materialise(runs, "substring-runs")
         if runs.isEmpty():
             return _merged(spans)
 
