@@ -439,7 +439,8 @@ def keep_one_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = materialise(members, "simhash-members")
     hubs = materialise(_hubs(members), "simhash-hubs")
     own = known.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    held = own.join(members.join(hubs, "cluster"), ["id", "text_hash"]).select("cluster", "digest", "n", "hub", "blocks", "text").dropDuplicates(["cluster", "digest"])
+    needed = materialise(members.join(hubs, "cluster").drop("word"), "simhash-needed")  # texts are not shuffled if these are few
+    held = own.join(needed, ["id", "text_hash"]).select("cluster", "digest", "n", "hub", "blocks", "text").dropDuplicates(["cluster", "digest"])
     held = materialise(held, "simhash-texts")
     block = F.pmod(F.xxhash64("digest"), F.col("blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
