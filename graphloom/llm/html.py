@@ -3,6 +3,10 @@
 All visible text comes out once, in document order: blocks are set apart by line ends and blank lines, lists have
 markers and indents, table cells are aligned in columns, preformatted text keeps its white space. The scanner and the
 builder take any bytes for HTML; work and memory are linear in the page, whatever its nesting.
+
+Of style sheets the rules count whose selectors are compounds of a tag, classes and an id, and whose media are not for
+print or speech alone; scripts do not run. Elements nested deeper than DEEPEST become siblings, lists and quotes deeper
+than INDENTS are not indented further, and lines of cells with others behind them are wrapped at WIDEST characters.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from graphloom.llm.common import slices
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("script style head title template noscript iframe noembed noframes object datalist audio video canvas svg math rp select".split())
+HIDDEN = frozenset("script style head title template noscript iframe noembed noframes datalist audio video canvas rp desc metadata defs annotation annotation-xml".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr menu".split())
 BLOCK = MARGIN | frozenset("address article aside body caption dd details dialog div dt figcaption footer form header hgroup html legend li main nav search section summary tr thead tbody tfoot td th center".split())
 #: A start tag closes an open element of these kinds, unless one of the second set stands between.
@@ -35,14 +39,22 @@ CLOSES["tbody"] = CLOSES["tfoot"] = CLOSES["colgroup"] = CLOSES["caption"] = CLO
 SCOPE = frozenset("table td th caption html template".split())
 ENDS_P = (BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}) | {"table"}
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: For the rest of a page from a tag with a quote that has no end: tags end at the next ">".
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 _END = {name: re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE) for name in RAW}
 _NONE, _UNSEEN, _SEEN = (re.compile(p, re.IGNORECASE) for p in (r"display\s*:\s*none", r"visibility\s*:\s*(?:hidden|collapse)", r"visibility\s*:\s*visible"))
 _GAPS = re.compile(r"[ \t\n\r\f]+")
 DEEPEST = 512  # deeper elements are siblings of their contents, as in browsers
-WIDEST = 40  # longer cells do not widen their column
-_INTERESTING = frozenset("class id style hidden start colspan type value".split())
+INDENTS = 32
+WIDEST = 80  # characters; a longer word does not widen its column
+_INTERESTING = frozenset("class id style hidden start colspan rowspan type value open selected multiple".split())
+_COMPOUND = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+_PRINT, _SCREEN = (re.compile(p, re.IGNORECASE) for p in (r"\b(?:print|speech)\b", r"\b(?:screen|all)\b|\bnot\s+(?:print|speech)\b"))
+# Inputs whose value is not shown, and the labels of those without one.
+SILENT = frozenset("hidden checkbox radio password file image range color".split())
+LABELS = {"submit": "Submit", "reset": "Reset"}
 
 
 class Node:
@@ -124,7 +136,7 @@ class Builder:
 
 def parse(source: str) -> Builder:
     """The tree of a page. Comments and declarations vanish; a tag that never ends takes the rest of the page."""
-    b, at, n, last = Builder(), 0, len(source), source.rfind(">")
+    b, at, n, last, tags = Builder(), 0, len(source), source.rfind(">"), _TAG
     while at < n:
         mark = source.find("<", at)
         if mark < 0:
@@ -154,10 +166,13 @@ def parse(source: str) -> Builder:
                 b.text("<")
                 at = mark + 1
             continue
-        m = _TAG.match(source, mark) if mark < last else None
+        m = tags.match(source, mark) if mark < last else None
+        if m is None and mark < last and tags is _TAG:
+            tags = _BROKEN
+            m = tags.match(source, mark)
         if m is None:
             break
-        slash, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        slash, tag, attrs = m.groups()
         tag, at = tag.lower(), m.end()
         if slash:
             b.end(tag)
@@ -179,19 +194,62 @@ def parse(source: str) -> Builder:
     return b
 
 
-def hidden_selectors(rules: list[str]) -> tuple[frozenset[str], frozenset[str]]:
-    """(display none, visibility hidden): the simple selectors (tag, .class, #id) that style sheets hide."""
-    none, unseen = set(), set()
-    for part in (x for r in rules for x in r.split("}")):
-        selectors, _, body = part.rpartition("{")
-        selectors = selectors.rpartition("{")[2]  # of a rule within another
-        names = {s.strip() for s in selectors.split(",")}
-        names = {s for s in names if re.fullmatch(r"[.#]?[\w-]+", s)}
-        if _NONE.search(body):
-            none |= names
-        if _UNSEEN.search(body):
-            unseen |= names
-    return frozenset(none), frozenset(unseen)
+#: A compound selector: tag (or none), id (or none), classes.
+Rules = dict[str, list[tuple[str, str, frozenset[str]]]]
+
+
+def _media(head: str) -> bool:
+    """Whether what an at-rule holds applies to a screen."""
+    return not head.lower().startswith(("@media", "@font-face", "@keyframes", "@page")) or (
+        head.lower().startswith("@media") and (not _PRINT.search(head) or bool(_SCREEN.search(head)))
+    )
+
+
+def hidden_selectors(rules: list[str]) -> tuple[Rules, Rules]:
+    """(display none, visibility hidden): the compound selectors that style sheets hide, by one of their parts."""
+    none: Rules = {}
+    unseen: Rules = {}
+    for sheet in rules:
+        heads, names, text = [], "", ""  # heads: of the open blocks, whether they apply
+        for part in re.split(r"([{}])", re.sub(r"/\*.*?(?:\*/|$)", " ", sheet, flags=re.DOTALL)):
+            if part == "{":
+                head = text.rpartition(";")[2].strip()
+                names = "" if head.startswith("@") else head
+                heads.append(_media(head) if head.startswith("@") else True)
+            elif part == "}":
+                if names and all(heads):
+                    for kind, found in ((_NONE, none), (_UNSEEN, unseen)):
+                        if kind.search(text):
+                            _add(found, names)
+                names = ""
+                if heads:
+                    heads.pop()
+            else:
+                text = part
+    return none, unseen
+
+
+def _add(found: Rules, names: str) -> None:
+    for name in names.split(","):
+        m = _COMPOUND.fullmatch(name.strip())
+        if not m or not name.strip():
+            continue
+        tag, rest = (m[1] or "").lower().replace("*", ""), re.findall(r"[.#][\w-]+", m[2])
+        ids, classes = [x[1:] for x in rest if x[0] == "#"], frozenset(x[1:] for x in rest if x[0] == ".")
+        if len(ids) < 2 and (rest or tag):
+            found.setdefault(rest[0] if rest else tag, []).append((tag, ids[0] if ids else "", classes))
+
+
+def _matches(rules: Rules, tag: str, attrs: dict[str, str]) -> bool:
+    if not rules:
+        return False
+    classes = attrs["class"].split() if "class" in attrs else ()
+    own = attrs.get("id", "")
+    for key in (tag, f"#{own}", *(f".{c}" for c in classes)):
+        for t, i, c in rules.get(key, ()):
+            if (not t or t == tag) and (not i or i == own) and c.issubset(classes):
+                return True
+    return False
 
 
 class Layout:
@@ -260,25 +318,72 @@ class Layout:
         return "\n".join(self.lines)
 
 
+def _wrapped(line: str) -> list[str]:
+    """A line as lines of at most WIDEST characters, cut between words."""
+    if len(line) <= WIDEST:
+        return [line]
+    out, own = [], ""
+    for word in line.split():
+        if own and len(own) + 1 + len(word) > WIDEST:
+            out.append(own)
+            own = word
+        else:
+            own = f"{own} {word}" if own else word
+    return [*out, own]
+
+
 class _Table:
+    """Rows of cells: (lines, columns, rows) each."""
+
     def __init__(self):
-        self.rows: list[list[str]] = []
-        self.caption = ""
+        self.rows: list[list[tuple[list[str], int, int]]] = []
 
-    def add(self, text: str, span: int) -> None:
+    def add(self, text: str, columns: int, rows: int) -> None:
         if not self.rows:
             self.rows.append([])
-        self.rows[-1] += [" ".join(text.split()), *[""] * (span - 1)]
+        self.rows[-1].append(([x for x in text.split("\n") if x.strip()], columns, rows))
+
+    def _placed(self) -> list[list[tuple[int, list[str], int]]]:
+        """(column, lines, columns) of each row's cells; columns that a cell of an earlier row still fills are passed over."""
+        out, filled = [], {}
+        for k, cells in enumerate(self.rows):
+            own, at = [], 0
+            for lines, columns, rows in cells:
+                while filled.get(at, 0) > k:
+                    at += 1
+                own.append((at, lines, columns))
+                if rows > 1:
+                    filled.update(dict.fromkeys(range(at, at + min(columns, 32)), k + rows))
+                at += columns
+            out.append(own)
+        return out
 
     def text(self) -> str:
-        rows = [r for r in self.rows if any(r)]
-        width: list[int] = []
-        for r in rows:
-            width += [0] * (len(r) - len(width))
-            for k, c in enumerate(r):
-                if len(c) <= WIDEST:
-                    width[k] = max(width[k], len(c))
-        return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in rows)  # noqa: B905
+        placed, width = self._placed(), {}
+        rows = []
+        for own in placed:
+            full = [(c, x, n) for c, x, n in own if x]
+            full = [(c, [y for z in x for y in _wrapped(z)] if k < len(full) - 1 else x, n) for k, (c, x, n) in enumerate(full)]
+            rows.append(full)
+            for c, x, n in full:
+                if n == 1:
+                    width[c] = max(width.get(c, 0), *(len(y) if len(y) <= WIDEST else 0 for y in x))
+                else:
+                    width.setdefault(c, 0)
+        start, at = {}, 0
+        for c in sorted(width):
+            start[c] = at
+            at += width[c] + 2
+        lines = []
+        for full in rows:
+            for k in range(max((len(x) for _, x, _ in full), default=0)):
+                line = ""
+                for c, x, _ in full:
+                    if k < len(x):
+                        line = line.ljust(start[c]) if len(line) < start[c] or not line else line + "  "
+                        line += x[k]
+                lines.append(line.rstrip())
+        return "\n".join(lines)
 
 
 def _number(text: str | None, default: int, least: int, most: int) -> int:
@@ -286,6 +391,28 @@ def _number(text: str | None, default: int, least: int, most: int) -> int:
     return min(most, max(least, int(digits[1]))) if digits else default
 
 
+def _shown_children(item: Node) -> list:
+    """The children that a browser shows: of closed details the summary, of a list of options the selected ones or, where
+    one is to be chosen and none is, the first."""
+    if item.tag == "details" and "open" not in item.attrs:
+        return [c for c in item.children if c.__class__ is Node and c.tag == "summary"][:1]
+    if item.tag != "select":
+        return item.children
+    options, stack = [], [item]
+    while stack:
+        node = stack.pop()
+        if node.tag == "option":
+            options.append(node)
+        elif node is item or node.tag == "optgroup":
+            stack.extend(c for c in reversed(node.children) if c.__class__ is Node)
+    chosen = [o for o in options if "selected" in o.attrs]
+    if "multiple" in item.attrs:
+        chosen = options  # a list box shows all
+    elif not chosen:
+        chosen = options[:1]
+    return [x for o in chosen for x in (o, " ")]
+
+
 def render(source: str | None) -> str:
     """The visible text of a page; null is empty."""
     if not source:
@@ -307,7 +434,7 @@ def render(source: str | None) -> str:
         if leaving:
             if tag in ("td", "th") and tables:
                 layouts.pop()
-                tables[-1].add(out.done(), _number(item.attrs.get("colspan"), 1, 1, 1000))
+                tables[-1].add(out.done(), _number(item.attrs.get("colspan"), 1, 1, 1000), _number(item.attrs.get("rowspan"), 1, 1, 65_534))
             elif tag == "table":
                 done = tables.pop()
                 out = layouts[-1]
@@ -330,21 +457,21 @@ def render(source: str | None) -> str:
                 out.gap(2 if tag in MARGIN else 1)
             continue
         a = item.attrs
-        if tag in HIDDEN or "hidden" in a or tag in none:
+        if tag in HIDDEN or "hidden" in a or _matches(none, tag, a):
+            continue
+        style = a.get("style", "")
+        if style and _NONE.search(style):
             continue
-        if a:
-            names = {f".{c}" for c in a["class"].split()} if "class" in a else set()
-            if "id" in a:
-                names.add(f"#{a['id']}")
-            style = a.get("style", "")
-            if names & none or (style and _NONE.search(style)):
-                continue
-            if names & unseen or (style and _UNSEEN.search(style)):
-                shown = False
-            if style and _SEEN.search(style):
-                shown = True
-        if tag in unseen:
+        if _matches(unseen, tag, a) or (style and _UNSEEN.search(style)):
             shown = False
+        if style and _SEEN.search(style):
+            shown = True
+        if tag == "input":
+            kind = a.get("type", "text").strip().lower()
+            label = "" if kind in SILENT else a.get("value") or LABELS.get(kind, "")
+            if shown and label:
+                out.flow(f" {label} ")
+            continue
         if tag == "br":
             if shown:
                 out.brk()
@@ -369,20 +496,23 @@ def render(source: str | None) -> str:
             if lists and lists[-1][0] == "ol":
                 mark = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
-            out.prefix.append(" " * len(mark) if len(out.prefix) < 32 else "")
+            out.prefix.append(" " * len(mark) if len(out.prefix) < INDENTS else "")
             out.marker = mark
         elif tag == "blockquote" or tag == "dd":
             out.gap(2 if tag == "blockquote" else 1)
-            out.prefix.append("  " if len(out.prefix) < 32 else "")
+            out.prefix.append("  " if len(out.prefix) < INDENTS else "")
         elif tag in BLOCK:
             out.gap(2 if tag in MARGIN else 1)
-        stack.extend((c, False, shown, pre) for c in reversed(item.children))
+        elif tag == "select" and shown:
+            out.flow(" ")
+        stack.extend((c, False, shown, pre) for c in reversed(_shown_children(item)))
     return layouts[0].done()
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with the visible text of ``html_col`` as ``text_col`` (a column of that name is replaced); null and empty
-    pages give an empty text. One row per row; the page itself is left out of the result."""
+    pages give an empty text. One row per row, whatever the other columns hold or are called; the page itself is left out of
+    the result; an empty table gives an empty result."""
     rest = [c for c in pages.columns if c not in (html_col, text_col)]
 
     def run(batches):
@@ -397,5 +527,5 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
                     yield pa.RecordBatch.from_arrays([*(c.slice(lo, len(texts)) for c in b.columns[:-1]), pa.array(texts, pa.string())], [*rest, text_col])
                     texts, lo, size = [], k + 1, 0
 
-    rows = pages.select(*rest, F.col(html_col).cast("string").alias("__html"))
+    rows = pages.select(*rest, F.col(html_col).cast("string").alias(text_col))
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(text_col, T.StringType())]))
