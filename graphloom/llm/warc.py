@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Header fields that a 304 answer updates, and query parameters that do not name a resource.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "warning")
@@ -44,7 +45,7 @@ def merge_headers(base: Column, update: Column, permitted: tuple[str, ...] = PER
 
 
 def resolve(records: DataFrame, bucket_seconds: int = 86_400, permitted: tuple[str, ...] = PERMITTED) -> DataFrame:
-    """Resolve records(record_id, url, ts timestamp, kind, etag, last_modified, headers map<string, string>), kind being
+    """Resolve records(record_id of any type that has an order, url, ts timestamp, kind, etag, last_modified, headers map<string, string>), kind being
     "response" or "revisit".
 
     Gives for each revisit (record_id, canonical, ts, status, response_id, age_seconds, headers). The response is the one with
@@ -56,8 +57,9 @@ def resolve(records: DataFrame, bucket_seconds: int = 86_400, permitted: tuple[s
     """
     rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "ts", "kind", "etag", "last_modified", "headers")
     rows = rows.where(F.col("kind").isin("response", "revisit"))
+    kind = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in ("ts", "record_id", "etag", "last_modified", "headers")])
     known = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
-    lost = rows.where(~known & (F.col("kind") == "revisit")).withColumn("r", F.lit(None).cast("struct<ts: timestamp, record_id: bigint, etag: string, last_modified: string, headers: map<string, string>>"))
+    lost = rows.where(~known & (F.col("kind") == "revisit")).withColumn("r", F.lit(None).cast(kind))
     rows = rows.where(known).withColumn("bucket", F.floor(F.unix_micros("ts") / F.lit(bucket_seconds * 1_000_000)))
     rows = rows.withColumn("own", F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "headers")))
     key = ["canonical", "bucket"]

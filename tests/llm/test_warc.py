@@ -62,3 +62,10 @@ def test_headers_and_odd_rows(spark):
     assert (got[2]["status"], got[2]["response_id"], got[2]["age_seconds"]) == ("resolved", 1, 3600.0)
     assert got[3]["status"] == "unvalidated" and got[3]["response_id"] == 1 and got[4]["status"] == "unvalidated" and got[4]["headers"]["date"] == "old"
     assert warc.resolve(df.limit(0)).count() == 0
+
+
+def test_text_record_ids(spark):
+    rows = [("urn:b", "u", T0, "response", "1", None, {}), ("urn:a", "u", T0, "revisit", "1", None, {}), ("urn:c", "u", T0, "revisit", "1", None, {}), ("urn:d", None, None, "revisit", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("record_id long", "record_id string"))
+    got = {r["record_id"]: (r["status"], r["response_id"]) for r in warc.resolve(df).collect()}
+    assert got == {"urn:a": ("orphan", None), "urn:c": ("resolved", "urn:b"), "urn:d": ("orphan", None)}
