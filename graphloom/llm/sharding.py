@@ -33,18 +33,20 @@ def interleave(rows: DataFrame, source: Column, key: Column, shards: int, seed:
     """``rows`` with columns shard (0 to shards - 1) and slot (from 0, without gaps, in each shard).
 
     key: identifies a row; the shuffle order is that of a hash of it and the seed, ties follow the key and then every
-    row that is equal is interchangeable. Shards' row counts differ by one at most, and of each source a shard has
-    its share within one or two rows. A null source is a source of its own; null keys and repeated rows are placed
-    like any others; an empty table gives an empty result. Column names of ``rows`` starting with ``__`` are
-    reserved.
+    row that is equal is interchangeable. Shards' row counts differ by one at most. At any place of the sequence each
+    source is within one row of its share of the place; a cut is by count, and its place is off by at most S / N (S
+    sources, N rows), so of a source of n rows a shard has n / shards rows within 2 + 2 n S / N: two or three for few
+    sources. The fractions drawn by the sources make it about the root of S instead of S. A null source is a source of
+    its own; null keys and repeated rows are placed like any others; an empty table gives an empty result. Columns of
+    ``rows`` called shard or slot are replaced; names starting with ``__`` are reserved.
     """
     base = rows.withColumns({"__source": F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null")), "__key": key})
-    base = materialise(base.withColumn("__hash", F.xxhash64(F.lit(seed), F.col("__key").cast("string"))), "sharding")
+    base = materialise(base.drop("shard", "slot").withColumn("__hash", F.xxhash64(F.lit(seed), F.col("__key").cast("string"))), "sharding")
     total = base.count()
     buckets = max(LEAST, total // ROWS)
     width = (1 << 63) // buckets + 1
     base = base.withColumn("__bucket", F.floor(F.shiftrightunsigned("__hash", 1) / F.lit(width)))
-    others = rows.columns
+    others = [c for c in rows.columns if c not in ("shard", "slot")]
     within = Window.partitionBy("__source", "__bucket").orderBy("__hash", "__key", *others)
     ranked = base.withColumn("__rank", F.row_number().over(within) - 1)
     starts = _before(base, ["__source"], "__bucket", "__total", "__start")

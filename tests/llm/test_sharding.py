@@ -56,8 +56,19 @@ def test_mixture(spark):
 
 
 def test_odd_rows(spark, odd, none):
-    rows = odd.drop("shard", "slot")
-    out = sharding.interleave(rows, F.col("source"), F.col("doc_id"), 5).collect()
-    assert len(out) == rows.count()
+    out = sharding.interleave(odd, F.col("source"), F.col("doc_id"), 5)
+    assert sorted(out.columns) == sorted(odd.columns)
+    out = out.collect()
+    assert len(out) == odd.count()
     held(out, 5)
-    assert sharding.interleave(none.drop("shard", "slot"), F.col("source"), F.col("doc_id"), 5).count() == 0
+    assert sharding.interleave(none, F.col("source"), F.col("doc_id"), 5).count() == 0
+
+
+def test_bound_with_many_sources(spark):
+    """The bound of the docstring, and about its root in practice."""
+    n, sources = 20_000, 2001
+    rows = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % (2 * sources - 3)).cast("string"))).alias("source"))
+    out = sharding.interleave(rows, F.col("source"), F.col("id"), 8).where("source = 'hot'").groupBy("shard").count().collect()
+    many = rows.select("source").distinct().count()
+    worst = max(abs(r["count"] - n / 16) for r in out)
+    assert len(out) == 8 and worst <= 2 + 2 * (n / 2) * many / n and worst <= 2 + 2 * many**0.5
