@@ -106,16 +106,12 @@ class Head:
         return self.design(f, n) @ self.weights
 
 
-def fit_head(f: Features, y: np.ndarray, ridge: float = 1.0) -> Head:
-    """Newton steps on the ridge logistic loss. Words are chosen by the size of their association with the label."""
-    n, p = len(y), y.mean()
-    seen = np.bincount(f.word, minlength=1 << 20)
-    hits = np.bincount(f.word, y[f.doc], 1 << 20)
-    strength = np.where(seen >= 4, np.abs(hits - seen * p) / np.sqrt(np.maximum(seen, 1) * p * (1 - p) + 1e-9), 0)
-    chosen = np.argsort(-strength, kind="stable")[:WORDS]
-    chosen = np.sort(chosen[strength[chosen] > 4])
-    scale = f.dense.std(0)
-    head = Head(f.dense.mean(0), np.where(scale > 1e-9, scale, 1), chosen, np.zeros(0))
+def fit_head(dense: np.ndarray, doc: np.ndarray, word: np.ndarray, chosen: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Head:
+    """Newton steps on the ridge logistic loss, over dense features and the presence of the ``chosen`` words: text doc[k] has
+    the word word[k]."""
+    n, f = len(y), Features(dense, doc, word)
+    scale = dense.std(0)
+    head = Head(dense.mean(0), np.where(scale > 1e-9, scale, 1), chosen, np.zeros(0))
     x = head.design(f, n)
     np.clip(x[:, :DENSE], -8, 8, out=x[:, :DENSE])
     w = np.zeros(x.shape[1])
@@ -139,11 +135,13 @@ def fit_head(f: Features, y: np.ndarray, ridge: float = 1.0) -> Head:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[Head | None, Head | None]:
     """(bad, toxic) heads from at most ``sample`` labelled rows, those of smallest hash. A head without examples of both
-    kinds is None; a null label of a kind is no example for its head."""
+    kinds is None; a null label of a kind is no example for its head. Of an id that is repeated in ``docs`` the smallest
+    text counts. The driver gets at most ``sample`` rows of DENSE numbers and of WORDS words."""
     chosen = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("id is not null")
     chosen = chosen.distinct().orderBy(F.xxhash64("id", F.lit(seed)), "id", "quality", "toxic").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id")  # bounded by `sample`
+    # bounded by `sample`, also where ids are repeated: one text each
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "quality", "toxic").agg(F.min("text").alias("text"))
 
     def run(batches):
         import pyarrow as pa
@@ -155,24 +153,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 5,
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), b.column(3).slice(lo, hi - lo),
-                        pa.array(list(f.dense)), pa.array([f.word[s:e].astype(np.int32).tobytes() for s, e in zip(cut, cut[1:])]),  # noqa: B905
+                        pa.array(list(f.dense)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(f.word.astype(np.int32))),
                     ],
                     ["id", "quality", "toxic", "dense", "words"],
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    made = rows.select("id", "text", "quality", "toxic").mapInArrow(run, f"id {kind}, quality int, toxic int, dense array<double>, words binary").toArrow().sort_by("id")
+    made = rows.select("id", "text", "quality", "toxic").mapInArrow(run, f"id {kind}, quality int, toxic int, dense array<double>, words array<int>")
+    made = materialise(made, "quality-sample")
     heads = []
     for column, bad in (("quality", 0), ("toxic", 1)):
-        own = made.filter(made.column(column).is_valid())
-        y = (own.column(column).to_numpy() == bad).astype(np.float64) if len(own) else np.zeros(0)
-        if len(set(y)) < 2:
+        own = made.where(F.col(column).isNotNull()).withColumn("y", (F.col(column) == bad).cast("double"))
+        n, p = own.agg(F.count(F.lit(1)), F.avg("y")).first()
+        if not n or p in (0.0, 1.0):
             heads.append(None)
             continue
-        words = [np.frombuffer(x, np.int32) for x in own.column("words").to_pylist()]
-        doc = np.repeat(np.arange(len(own), dtype=np.int32), list(map(len, words)))
-        dense = own.column("dense").combine_chunks().flatten().to_numpy().reshape(-1, DENSE)
-        heads.append(fit_head(Features(dense, doc, np.concatenate(words)), y))
+        # words are counted in the executors; the driver gets the WORDS that matter most, by association with the label
+        counts = own.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("seen"), F.sum("y").alias("hits")).where("seen >= 4")
+        strength = F.abs(F.col("hits") - F.col("seen") * p) / F.sqrt(F.col("seen") * p * (1 - p) + 1e-9)
+        top = counts.withColumn("s", strength).where("s > 4").orderBy(F.desc("s"), "w").limit(WORDS).select("w").collect()
+        chosen = sorted(r["w"] for r in top)
+        kept = F.array_intersect("words", F.lit(chosen).cast("array<int>")) if chosen else F.array().cast("array<int>")
+        table = own.select("id", "quality", "toxic", "y", "dense", kept.alias("words")).orderBy("id", "quality", "toxic").toArrow()
+        words = table.column("words").to_pylist()
+        doc = np.repeat(np.arange(n), list(map(len, words)))
+        word = np.array([w for own_words in words for w in own_words], np.int64)
+        dense = table.column("dense").combine_chunks().flatten().to_numpy().reshape(-1, DENSE)
+        heads.append(fit_head(dense, doc, word, np.array(chosen, np.int64), table.column("y").to_numpy()))
     return heads[0], heads[1]
 
 

@@ -62,3 +62,62 @@ def test_odd_rows(spark, odd, none, with_labels):
     if not with_labels:
         assert kept.count() == odd.count()
     assert quality.keep_good(none, labels).count() == 0 and quality.classify(none, labels).count() == 0
+
+
+def test_sample_is_a_bound_for_repeated_ids(spark):
+    """5,000 rows of one id are one example, so ten labels give at most ten rows."""
+    docs = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("some text "), "id").alias("text"))
+    docs = docs.unionByName(spark.range(2, 40).select(F.col("id").alias("doc_id"), F.lit("a few other words here").alias("text")))
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    rows, fit_head = [], quality.fit_head
+
+    def watched(dense, *rest):
+        rows.append(len(dense))
+        return fit_head(dense, *rest)
+
+    quality.fit_head = watched
+    try:
+        heads = quality.fit(docs, labels, sample=12)
+    finally:
+        quality.fit_head = fit_head
+    assert rows and max(rows) <= 12 and heads[1] is None
+
+
+def test_posteriors_against_plain_python(spark):
+    """Both levels of shrinkage, worked out in plain Python, and the decision of each document."""
+    rng = np.random.default_rng(4)
+    rows = [(f"s{int(rng.integers(0, 6))}", f"p{int(rng.integers(0, 3))}", float(rng.beta(2, 2)), float(rng.normal())) for _ in range(500)] + [("lone", "p0", 0.2, 3.0)]
+    got = {(r["site"], r["path"]): r for r in quality.posteriors(spark.createDataFrame(rows, "site string, path string, p double, t double")).collect()}
+    prior = sum(r[2] for r in rows) / len(rows)
+
+    def groups(key):
+        out = {}
+        for r in rows:
+            n, s = out.get(key(r), (0, 0.0))
+            out[key(r)] = n + 1, s + r[2]
+        return out
+
+    def weight(own, centre):
+        own = {k: v for k, v in own.items() if v[0] > 1}
+        total = sum(n for n, _ in own.values())
+        spread = sum(n * (s / n - centre(k)) ** 2 for k, (n, s) in own.items()) / total
+        noise = sum(centre(k) * (1 - centre(k)) for k in own) / total
+        level = sum(centre(k) * (1 - centre(k)) for k in own) / len(own)
+        return min(max(level / max(spread - noise, 1e-6) - 1, 1.0), 1000.0)
+
+    sites, paths = groups(lambda r: r[0]), groups(lambda r: r[:2])
+    k = weight(sites, lambda _: prior)
+    site = {i: (s + k * prior) / (n + k) for i, (n, s) in sites.items()}
+    k = weight(paths, lambda i: site[i[0]])
+    assert set(got) == set(paths)
+    for i, (n, s) in paths.items():
+        assert abs(got[i]["site_posterior"] - site[i[0]]) < 1e-9 and abs(got[i]["path_posterior"] - (s + k * site[i[0]]) / (n + k)) < 1e-9
+
+    scored = spark.createDataFrame([(i, s, p, float(np.log(x / (1 - x))), t) for i, (s, p, x, t) in enumerate(rows)], "id long, site string, path string, good double, poison double")
+    judged = quality._judged(scored, quality._groups(scored), 0.5, 0.5, 0.3)
+    odds = lambda x: np.log(min(max(x, 1e-3), 1 - 1e-3) / (1 - min(max(x, 1e-3), 1 - 1e-3)))
+    for r in judged.collect():
+        s, p, x, t = rows[r["id"]]
+        n, total = paths[s, p]
+        z = np.log(x / (1 - x)) + 0.5 * (odds((total + k * site[s]) / (n + k)) - odds(prior))
+        assert abs(r["p_good"] - 1 / (1 + np.exp(-z))) < 1e-9 and r["keep"] == (1 / (1 + np.exp(-z)) >= 0.5 and 1 / (1 + np.exp(-t)) < 0.3)
