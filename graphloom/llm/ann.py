@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fit (on a bounded sample, SAMPLE distinct vectors): build the sample's neighbour graph, cut it into balanced parts
+Fit (on a bounded sample of distinct vectors, SAMPLE or more for more parts): build the sample's neighbour graph, cut it into balanced parts
 with few cut edges, and train a small classifier that predicts from a vector the parts of its neighbours. Index: every
 vector goes to its most probable part. Search: a query goes to its most probable parts, as many as a validation
 on the sample needs for the target recall, and all vectors there are reranked by the exact inner product.
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import materialise, slices
 from graphloom.llm.common import parts as shuffle_parts
 
-SAMPLE = 8192
-PARTS = 32  # what a sample of that size can teach; a power of two
+SAMPLE = 8192  # vectors to fit on, and 64 a part beyond 128 parts: 32,768 at most
+PARTS = 32  # at least; a power of two
+MOST = 512  # parts at most
+SHARE = 4096  # vectors of a part, about: parts grow with the table up to MOST
 BLOCK = 8192
 TARGET = 0.94
 
@@ -125,8 +127,12 @@ def train(x: np.ndarray, target: np.ndarray, seed: int, hidden: int = 256, epoch
 
 def fit(x: np.ndarray, parts: int, k: int = 20, seed: int = 11, target: float = TARGET) -> Router:
     """A router over ``parts`` (a power of two) from distinct vectors. probes: the fewest parts that hold ``target`` of
-    the k nearest of 1,024 of them."""
-    if len(x) < 8 * parts or parts == 1:  # too few to learn from: one part, which is exact
+    the k nearest of 1,024 of them. From fewer than 8 vectors a part there is nothing to learn how many to visit: fewer
+    parts are made then, and all of them visited."""
+    few = len(x) < 8 * parts
+    if few:
+        parts = 1 << max(0, (len(x) // 8).bit_length() - 1)
+    if parts == 1 or len(x) < 3:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     graph = neighbour_graph(x, max(k, 10))
     part = balanced_parts(x, graph, parts, seed)
@@ -139,7 +145,7 @@ def fit(x: np.ndarray, parts: int, k: int = 20, seed: int = 11, target: float =
     rank = np.argsort(router.order(x[asked], parts), axis=1)  # rank[i, p]: place of part p for query i
     place = np.take_along_axis(rank, home[graph[asked][:, :]], axis=1)
     recall = np.array([(place < n).mean() for n in range(1, parts + 1)])
-    router.probes = int(np.searchsorted(recall, target) + 1)
+    router.probes = parts if few else min(parts, int(np.searchsorted(recall, target) + 1))
     return router
 
 
@@ -165,9 +171,10 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def search(vectors: DataFrame, asked, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", target: float = TARGET, seed: int = 11, parts: int = PARTS) -> DataFrame:
+def search(vectors: DataFrame, asked, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", target: float = TARGET, seed: int = 11, parts: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): for each usable row whose id satisfies ``asked(id)`` its k nearest others found, by
-    inner product in double precision, largest first, ties to the smaller id; all others, if fewer than k.
+    inner product in double precision, largest first, ties to the smaller id; all others, if fewer than k. parts: a power of
+    two; None: one of about SHARE vectors each, PARTS at least and MOST at most.
 
     Null ids, and vectors that are null, zero, of another length or hold null or non-finite components, take no
     part; an empty table gives an empty result. An id with several vectors is several candidates with that id.
@@ -181,7 +188,8 @@ def search(vectors: DataFrame, asked, k: int = 20, id_col: str = "vec_id", vec_c
     classes = rows.groupBy("vec").agg(F.min("id").alias("rep"), F.bool_or(asked(F.col("id"))).alias("asked"))
     classes = materialise(classes, "ann-classes")
     n = classes.count()
-    sample = classes.select("rep", "vec").orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(SAMPLE).toArrow()
+    parts = parts or min(MOST, max(PARTS, 1 << max(0, (n // SHARE - 1)).bit_length()))
+    sample = classes.select("rep", "vec").orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(max(SAMPLE, 64 * parts)).toArrow()
     router = fit(_matrix(sample.column("vec")), parts, k, seed, target) if n else Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
 
     def placed(most: int):
@@ -219,7 +227,9 @@ def search(vectors: DataFrame, asked, k: int = 20, id_col: str = "vec_id", vec_c
             part = q[at : at + 1024]
             s = part @ x.T
             least = np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] if s.shape[1] > k + 1 else s.min(1)
-            i, j = np.nonzero(s >= least[:, None] - 1e-9)
+            # what rounding can move, relative to the vectors' lengths
+            margin = 1e-12 * np.linalg.norm(part, axis=1) * np.linalg.norm(x, axis=1).max()
+            i, j = np.nonzero(s >= (least - margin)[:, None])
             # one order of summation for every pair, so equal vectors score equally
             exact = np.concatenate([(part[i[c : c + 65_536]] * x[j[c : c + 65_536]]).sum(1) for c in range(0, len(i), 65_536)] or [np.zeros(0)])
             out.append(pa.table({"query": q_ids.take(pa.array(i + at)), "rep": ids.take(pa.array(j)), "score": exact}))

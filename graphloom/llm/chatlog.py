@@ -29,8 +29,10 @@ def fold(events: DataFrame) -> DataFrame:
     """events(conv_id, message, seq, op, role, text) to (conv_id, message, role, text).
 
     Per message, by seq: the text is what the last edit set (nothing after a regenerate), and the deltas after it.
-    The role is the last one given. Null texts are empty; a null or unknown op adds nothing; an event delivered twice
-    counts once; null conversations and messages are keys like any other.
+    seq orders the events of a message; different events of one seq all apply, in the order of op, role and text. The
+    role is the last one given. Null texts are empty; a null or unknown op adds nothing; an event delivered twice counts
+    once; null conversations and messages are keys like any other; an empty table gives an empty result; other columns
+    are not read.
     """
     rows = events.groupBy("conv_id", "message").agg(F.sort_array(F.collect_set(F.struct("seq", "op", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("e"))
     given = F.filter("e", lambda x: x["role"].isNotNull())
@@ -42,7 +44,8 @@ def fold(events: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame) -> DataFrame:
     """messages(conv_id, message, role, text) to (conv_id, pieces, formatted): pieces is array<struct<text, loss>>, whose
-    texts joined are the formatted text; loss is true for the texts of assistants only. Null roles are empty."""
+    texts joined are the formatted text; loss is true for the texts of assistants only. Null roles and texts are empty;
+    messages that are equal come as often as they are; an empty table gives an empty result; other columns are not read."""
     role, text = F.coalesce("role", F.lit("")), escape(F.coalesce("text", F.lit("")))
     piece = lambda t, loss: F.struct(t.alias("text"), loss.alias("loss"))
     own = F.array(
@@ -75,7 +78,8 @@ def loss_text(pieces: Column) -> Column:
 def log_of(conversations: DataFrame) -> DataFrame:
     """An event log whose outcome is conversations(conv_id, turn, role, text): users first send a draft and edit it,
     assistants stream an answer, are asked again, and stream the final one in two deltas; other roles send one delta.
-    Equal rows of a turn are messages of their own, in the order of role and text."""
+    Equal rows of a turn are messages of their own, in the order of role and text. Null texts are empty, null turns come
+    first; an empty table gives an empty log; other columns are not read."""
     from pyspark.sql import Window
 
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")

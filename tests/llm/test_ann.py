@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import ann, queries
 from graphloom.llm.common import table
@@ -47,6 +48,27 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert {q: [j for _, j, _ in sorted(v)] for q, v in got.items()} == {q: [j for j, _ in v] for q, v in want.items()}
 
 
+def test_parts_grow_and_clashing_columns(spark, monkeypatch):
+    """More parts for a larger table, and the same answers of good recall; columns with the names used inside are not read."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((20, 16))
+    rows = [(i, (centres[i % 20] + 0.4 * rng.standard_normal(16)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for c in ("id", "vec", "rep", "part", "query", "score", "rank", "block"):
+        df = df.withColumn(c, F.lit("clash"))
+    want = brute(rows)
+    seen = []
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda x, parts, *rest: seen.append(parts) or fit(x, parts, *rest))
+    for share, parts in ((4096, 32), (20, 64)):
+        monkeypatch.setattr(ann, "SHARE", share)
+        got = {}
+        for r in ann.search(df, lambda i: i % 20 == 0, 20).collect():
+            got.setdefault(r["query_id"], set()).add(r["id"])
+        assert seen[-1] == parts and set(got) == set(want)
+        assert sum(len(got[q] & {j for j, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
 def test_fewer_than_k_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (20, [3.0])], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in ann.search(df, lambda i: i % 20 == 0).collect())
