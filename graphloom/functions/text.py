@@ -17,7 +17,7 @@ STOP_WORDS = (
 )
 # A case-sensitive alias, and the phrases of a refusal.
 ALIASES = {"NVIDIA CORPORATION": "NVIDIA"}
-REFUSAL, REFUSAL_ZH = "cannot conclude", "无法得出"
+REFUSAL, REFUSAL_ZH = "cannot conclude", "无法得出结论"
 
 BLANK = r"(?U)[\s\x1c-\x1f]+"
 
@@ -62,6 +62,11 @@ def parse_keywords(reply: Column, min_length: int = 0, strip_quotes: bool = Fals
     return F.filter(words, lambda k: F.length(k) >= min_length) if min_length else words
 
 
+def engine_keywords(reply: Column) -> Column:
+    """All entities of the reply, empty ones included; none without a reply."""
+    return F.coalesce(parse_keywords(reply), F.array().cast("array<string>"))
+
+
 def fallback_keywords(question: Column) -> Column:
     """Words of the question, longer than two letters and no stop words, upper-cased, in order."""
     spaced = F.regexp_replace(fold(question), r"(?U)[^\w\s]", " ")

@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as fn
 
 METRICS = ("faithfulness", "relevance", "precision")
+# The metrics' names in stored records.
+SCORES = ("faithfulness_score", "relevance_score", "context_precision_score")
 # What the arms answer when they found nothing.
 NO_DOCUMENTS = "No relevant documents found."
 NO_CONTEXT = "No relevant graph context found."
 
 
+def numbered_pending(questions: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Questions not in ``done``, with their 1-based place in the whole set, done ones included."""
+    placed = questions.withColumn("run_no", F.row_number().over(Window.orderBy(key)))
+    return placed.join(done.select(key).distinct(), key, "left_anti")
+
+
 def pending(questions: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Questions not in ``done``, with their 1-based place among those pending. A question list is small: the window
     over it is the one place where rows meet in one task."""
@@ -40,6 +48,15 @@ def nested(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id", "question").agg(arm("baseline_vector_rag"), arm("proposed_graph_rag"))
 
 
+def records(results: DataFrame, by: str = "query_id") -> DataFrame:
+    """Long-form results(by, category, question, arch, answer, metrics, and error if known) as records of schemas.RESULTS."""
+    note = F.col("error") if "error" in results.columns else F.lit(None)
+    scores = [F.col(m).cast("int").alias(s) for m, s in zip(METRICS, SCORES, strict=True)]
+    made = F.struct("answer", F.struct(*scores, F.lit(None).cast("string").alias("academic_justification"), note.cast("string").alias("error")).alias("scores"))
+    arm = lambda name: F.max(F.when(F.col("arch") == name, made)).alias(name)
+    return results.groupBy(F.col(by).cast("string").alias("id"), "category", "question").agg(arm("baseline_vector_rag"), arm("proposed_graph_rag"))
+
+
 def report(results: DataFrame, by: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Mean of each metric per group, a missing score counting as 0, and the number of rows."""
     means = [F.coalesce(F.avg(F.coalesce(F.col(m), F.lit(0))), F.lit(0.0)).alias(m) for m in metrics]

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.storage import stored
+
 KEY = ("src", "rel", "dst")
-KEYWORDS_AT_ONCE = 20_000  # keyword rows that are broadcast at most
+KEYWORDS_AT_ONCE = 256  # distinct keywords that each node is probed with at most
 
 
 def collapse(edges: DataFrame, order: Column) -> DataFrame:
@@ -115,9 +117,10 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFra
     path is array<struct<src, rel, dst>>.
 
     Breadth first: each level keeps the smallest path of each (query, origin, node), and leaves out nodes reached
-    before. Lineage is a fixed number of joins, so nothing needs to be checkpointed.
+    before. Each level is stored, so the joins grow with the hops only, and no level is computed twice.
     """
-    both = undirected(edges).select("a", "b", F.struct(*KEY).alias("edge"))
+    both = stored(undirected(edges).select("a", "b", F.struct(*KEY).alias("edge")), "paths-edges")
+    seeds = stored(seeds.where("pos < 2").select("query_id", "pos", "id").distinct(), "paths-seeds")
     origins = seeds.where("pos = 0").select("query_id", F.col("id").alias("origin")).distinct()
     ends = seeds.where("pos = 1").select("query_id", F.col("id").alias("target")).distinct()
     origins = origins.join(ends.select("query_id").distinct(), "query_id", "left_semi")
@@ -127,7 +130,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFra
     for depth in range(1, hops + 1):
         step = front.join(both, F.col("node") == F.col("a")).select("query_id", "origin", F.col("b").alias("node"), F.concat("path", F.array("edge")).alias("path"))
         step = step.join(seen, ["query_id", "origin", "node"], "left_anti")
-        front = step.groupBy("query_id", "origin", "node").agg(F.min("path").alias("path"))
+        front = stored(step.groupBy("query_id", "origin", "node").agg(F.min("path").alias("path")), "paths-level")
         level = front.withColumn("hops", F.lit(depth))
         levels = level if levels is None else levels.unionByName(level)
         seen = seen.unionByName(front.select("query_id", "origin", "node"))

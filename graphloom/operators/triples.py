@@ -9,13 +9,13 @@ from graphloom import schemas
 from graphloom.functions import text as fn
 
 
-def extract_sentences(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+def extract_sentences(docs: DataFrame, id_col: str, text: Column, carry: tuple[Column, ...] = ()) -> DataFrame:
     """Offline default of the extractor: of each sentence (cut at ". ") with three words or more, the first three are
-    source, relation and target. (id_col, item, source, relation, target, description)."""
-    rows = docs.select(id_col, F.posexplode(F.split(fn.clean(text), r"\. ")).alias("item", "sentence"))
+    source, relation and target. (id_col, item, source, relation, target, description, and the columns ``carry``)."""
+    rows = docs.select(id_col, F.struct(F.lit(None).alias("__none"), *carry).alias("carry"), F.posexplode(F.split(fn.clean(text), r"\. ")).alias("item", "sentence"))
     words = F.split("sentence", " ")
     rows = rows.withColumn("w", words).where(F.size("w") >= 3)
-    return rows.select(id_col, "item", F.col("w")[0].alias("source"), F.col("w")[1].alias("relation"), F.col("w")[2].alias("target"), F.col("sentence").alias("description"))
+    return rows.select(id_col, "item", F.col("w")[0].alias("source"), F.col("w")[1].alias("relation"), F.col("w")[2].alias("target"), F.col("sentence").alias("description"), "carry.*").drop("__none")
 
 
 def parse_replies(replies: DataFrame, id_col: str, reply: Column) -> DataFrame:

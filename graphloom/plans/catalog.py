@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as fn
 from graphloom.operators import chat, chunking, experiment, graph, ranking, triples, vectors, viz
 from graphloom.plans import graphs, oracles
-from graphloom.sources import tables
+from graphloom.sources import sinks, tables
 from graphloom.sources.tables import table
+from graphloom.storage import fresh_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = oracles.SQL
@@ -127,6 +128,16 @@ def upsert_edges(spark, d):
     return out.select("src", "rel", "dst", "description", "source", "page")
 
 
+@query
+def ingest_counts_by_chunk(spark, d):
+    """Triples written for each chunk, 0 where none is usable."""
+    chunks = chunking.chunk_fixed(table(spark, d, "documents"), "doc_id", fn.clean(F.col("text")), 1000, 150)
+    chunks = chunks.select(F.struct("doc_id", "chunk_pos").alias("place"), "chunk")
+    edges, bad = triples.normalise(triples.extract_sentences(chunks, "place", F.col("chunk")))
+    rows = edges.select("place", F.lit(1).alias("n")).unionByName(bad.select("place", F.lit(0).alias("n")))
+    return rows.groupBy("place").agg(F.sum("n").alias("n_written")).select("place.doc_id", "place.chunk_pos", "n_written")
+
+
 @query
 def ingest_counts(spark, d):
     writes = graphs.g2_writes(spark, d)
@@ -176,6 +187,14 @@ def keyword_parse(spark, d):
     return rows.select("query_id", "pos", "keyword")
 
 
+@query
+def keyword_engine(spark, d):
+    """Replies of the engine's model, of which every third failed."""
+    said = F.when(F.col("query_id") % 3 != 0, F.regexp_replace("question", " ", ","))
+    rows = graph.keyword_rows(graphs.questions(spark, d), "query_id", fn.engine_keywords(said))
+    return rows.select("query_id", "pos", "keyword")
+
+
 @query
 def keyword_parse_dashboard(spark, d):
     said = F.when(F.col("query_id") % 2 == 0, F.regexp_replace("question", " ", ",")).otherwise(F.lit(",a,"))
@@ -223,7 +242,8 @@ def khop_edges(spark, d):
 @query
 def khop_rendered(spark, d):
     edges, seeds = _g1_seeds(spark, d)
-    text = fn.render_with_context(F.col("src"), F.col("rel"), F.col("dst"), F.lit(None).cast("string"))
+    about = F.when(F.col("rel") == "SUPPLIES", F.concat(F.lit("sold by "), F.lower("src")))
+    text = fn.render_with_context(F.col("src"), F.col("rel"), F.col("dst"), about)
     return graph.k_hop_edges(edges, seeds, 150).select("query_id", text.alias("triplet"))
 
 
@@ -250,13 +270,13 @@ def candidate_union(spark, d):
 # --- ranking ---
 
 
-def _ranked(spark, d, k=12):
+def _ranked(spark, d, k=12, values=()):
     asked = graphs.questions(spark, d)
-    edges = graphs.g2(spark, d)
+    edges = graphs.g2(spark, d, store=True)
     words = graph.keyword_rows(asked, "query_id", F.array_distinct(fn.fallback_keywords(F.col("question"))))
     near = graph.neighbours(edges, graph.seeds(graph.vertices(edges), words), 10)
-    found = near.select("query_id", fn.render(F.col("src"), F.col("rel"), F.col("dst")).alias("triplet"))
-    return ranking.rerank(asked, found, k)
+    found = near.select("query_id", fn.render(F.col("src"), F.col("rel"), F.col("dst")).alias("triplet"), "src", "rel", "dst")
+    return ranking.rerank(asked, found, k, values)
 
 
 @query
@@ -264,6 +284,12 @@ def rerank_topk(spark, d):
     return _ranked(spark, d)
 
 
+@query
+def triplet_rows(spark, d):
+    """The edge of each ranked text, which highlights follow from."""
+    return _ranked(spark, d, 15, ("src", "rel", "dst")).select("query_id", "rank", "triplet", "src", "rel", "dst")
+
+
 @query
 def rerank_topk_dashboard(spark, d):
     return _ranked(spark, d, 15)
@@ -293,25 +319,26 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
-def _nearest(spark, d, condition, distance=vectors.squared_l2):
+def _nearest(spark, d, k, metric="l2"):
+    """The searches' query set: every row whose id is divisible by 20."""
     rows = _vectors(spark, d)
-    asked = rows.where(condition).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
-    return vectors.nearest(asked, rows, 5, distance)
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    return vectors.nearest(asked, rows, k, metric)
 
 
 @query
 def vector_topk(spark, d):
-    return _nearest(spark, d, "id = 7")
+    return _nearest(spark, d, 1)
 
 
 @query
 def vector_topk_multi(spark, d):
-    return _nearest(spark, d, "id < 10")
+    return _nearest(spark, d, 5)
 
 
 @query
 def vector_topk_cosine(spark, d):
-    return _nearest(spark, d, "id < 10", vectors.cosine_distance)
+    return _nearest(spark, d, 5, "cosine")
 
 
 @query
@@ -354,6 +381,33 @@ def _results(spark, d):
     return experiment.evaluate(rows)
 
 
+@query
+def context_two_ways(spark, d):
+    """The documents of a question as the prompt has them and as the judge has them."""
+    return ranking.two_contexts(_vector_arm(spark, d), "body")
+
+
+@query
+def experiment_index(spark, d):
+    asked = graphs.questions(spark, d)
+    done = table(spark, d, "labels").select(F.col("doc_id").alias("query_id"))
+    return experiment.numbered_pending(asked, done, "query_id").select("query_id", "run_no")
+
+
+@query
+def results_roundtrip(spark, d):
+    """Records written by the sink and read by the source; the even questions and the odd ones in a batch each."""
+    path = fresh_path(spark, "results")
+    category = F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")
+    made = stored(experiment.records(_results(spark, d).withColumn("category", category)), "records")
+    for batch in ("even", "odd"):
+        sinks.append_results(made.where(F.col("category") == batch), path)
+    read = tables.results(spark, path, required=True)
+    names = ("baseline_vector_rag", "proposed_graph_rag")
+    parts = [F.col(f"{a}.{c}").alias(f"{a.split('_')[0]}_{c.rpartition('.')[2]}") for a in names for c in ("answer", *(f"scores.{s}" for s in experiment.SCORES))]
+    return read.select("id", "category", "question", *parts)
+
+
 @query
 def resume_pending(spark, d):
     asked = graphs.questions(spark, d)
@@ -423,7 +477,7 @@ def highlight_edges(spark, d):
 @query
 def viz_nodes(spark, d):
     edges, lit = _lit(spark, d)
-    shown = graph.sample_edges(edges, 400).withColumns({"source": F.lit("tables"), "page": F.lit(None).cast("string")})
+    shown = graph.sample_edges(edges, 400).withColumns({"source": F.lower("rel"), "page": F.when(F.col("rel") != "HAS_TYPE", F.length("dst").cast("string"))})
     return viz.nodes(shown, viz.highlight_nodes(lit))
 
 
@@ -445,5 +499,29 @@ def chat_windows_by_turn(spark, d):
 
 @query
 def chat_refusals(spark, d):
-    said = table(spark, d, "conversations").withColumn("text", F.when(F.col("conv_id") % 5 == 0, F.concat("text", F.lit(" We Cannot Conclude that."))).otherwise(F.col("text")))
+    tail = F.when(F.col("conv_id") % 5 == 0, " We Cannot Conclude that.").when(F.col("conv_id") % 7 == 0, "我们无法得出结论。").when(F.col("conv_id") % 11 == 0, "无法得出").otherwise("")
+    said = table(spark, d, "conversations").withColumn("text", F.concat("text", tail))
     return chat.refusals(said).select("conv_id", "turn", "role")
+
+
+def _contexts(spark, d):
+    """A context for two of three conversations: what their first turn begins with."""
+    first = table(spark, d, "conversations").where("turn = 0 and conv_id % 3 > 0")
+    return first.groupBy("conv_id").agg(F.min(F.substring("text", 1, 30)).alias("context"))
+
+
+@query
+def chat_prompt(spark, d):
+    made = chat.prompts(table(spark, d, "conversations"), _contexts(spark, d))
+    lines = F.array_join(F.transform("prompt", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return made.select("conv_id", F.size("prompt").alias("n"), lines.alias("prompt"))
+
+
+@query
+def chat_settled(spark, d):
+    """Answers of which every fifth refuses: neither context nor highlights stay."""
+    made = chat.prompts(table(spark, d, "conversations"), _contexts(spark, d))
+    answer = F.when(F.col("conv_id") % 5 == 0, "I cannot conclude this.").otherwise(F.concat(F.lit("From: "), "context"))
+    answers = chat.settled(made.select("conv_id", "context", answer.alias("answer")))
+    lit = chat.highlights(table(spark, d, "conversations").select("conv_id", "role").distinct(), answers)
+    return answers.join(lit.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_lit")), "conv_id", "left").select("conv_id", "context", "answer", "refused", F.coalesce("n_lit", F.lit(0)).cast("long").alias("n_lit"))

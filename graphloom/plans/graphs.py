@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as fn
 from graphloom.operators import graph, triples
 from graphloom.sources.tables import table
+from graphloom.storage import stored
 
 
 def g1(spark: SparkSession, d: str) -> DataFrame:
@@ -26,8 +27,7 @@ def g1(spark: SparkSession, d: str) -> DataFrame:
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     """Raw triples with their place: seq orders the writes of the upsert."""
-    docs = table(spark, d, "documents")
-    rows = triples.extract_sentences(docs, "doc_id", F.col("text")).join(docs.select("doc_id", F.col("source").alias("file")), "doc_id")
+    rows = triples.extract_sentences(table(spark, d, "documents"), "doc_id", F.col("text"), (F.col("source").alias("file"),))
     return rows.select("doc_id", "item", "source", "relation", "target", "description", F.col("file"), fn.page_label(F.col("item")).alias("page"))
 
 
@@ -37,8 +37,10 @@ def g2_writes(spark: SparkSession, d: str) -> DataFrame:
     return edges.select("src", "rel", "dst", "description", F.col("file").alias("source"), "page", F.struct("doc_id", "item").alias("seq"))
 
 
-def g2(spark: SparkSession, d: str) -> DataFrame:
-    return graph.collapse(g2_writes(spark, d).drop("description", "source", "page").withColumn("one", F.lit(1)).select("src", "rel", "dst", "one", "seq"), F.col("seq")).select("src", "rel", "dst")
+def g2(spark: SparkSession, d: str, store: bool = False) -> DataFrame:
+    """The edges of G2; ``store`` where they are used several times: the texts are then read once."""
+    edges = g2_writes(spark, d).select("src", "rel", "dst").distinct()
+    return stored(edges, "g2") if store else edges
 
 
 #: Keyword lists over G1: (query_id, keywords).

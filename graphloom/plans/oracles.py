@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphloom.functions import text as fn
+from graphloom.operators.experiment import SCORES
 
 CLEAN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 FOLD = "replace({}, 'ß', 'ss')".format
@@ -98,10 +99,10 @@ def _dot(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::double * x[2]::double))"
 
 
-def nearest(condition: str, kind: str) -> str:
-    return f"""with q as (select vec_id as query_id, embedding as query from embeddings where {condition}),
+def nearest(k: int, kind: str) -> str:
+    return f"""with q as (select vec_id as query_id, embedding as query from embeddings where vec_id % 20 = 0),
 p as (select query_id, vec_id as id, round({DIST[kind]("query", "embedding")}, 6) as distance from q cross join embeddings)
-select query_id, rank::int as rank, id, distance from (select *, row_number() over (partition by query_id order by distance, id) as rank from p) where rank <= 5"""
+select query_id, rank::int as rank, id, distance from (select *, row_number() over (partition by query_id order by distance, id) as rank from p) where rank <= {k}"""
 
 
 ARM = f"""kws as (select distinct query_id, unnest({FALLBACK("question")}) as word from questions),
@@ -128,6 +129,11 @@ LIT = f"{S1}, {KHOP}, lit as (select distinct src, rel, dst from khop where quer
 _COLOUR = lambda on: f"case when {on} then '#FF4B4B' when (select count(*) > 0 from lit) then '#D3D3D3' else '#4B8BFF' end"
 _PARSED = lambda said, least: rf"list_filter(list_transform(string_split({said}, ','), lambda k: upper(replace(trim(regexp_replace(k, '\s+', ' ', 'g')), 'ß', 'ss'))), lambda k: length(k) >= {least})"
 
+CHAT = """with contexts as (select conv_id, min(substring(text, 1, 30)) as context from conversations where turn = 0 and conv_id % 3 > 0 group by conv_id),
+system as (select conv_id, coalesce(context, '') as context from (select distinct conv_id from conversations) left join contexts using (conv_id)),
+newest as (select *, row_number() over (partition by conv_id order by turn desc) as k from conversations),
+prompts as (select conv_id, -1 as place, 'system' as role, 'Answer from the context only.' || chr(10) || context as content from system
+  union all select conv_id, turn, coalesce(role, ''), coalesce(text, '') from newest where k <= 4)"""
 _NAMES = " union ".join(f"select {c} as name from {t}" for t, c in (("nation", "n_name"), ("region", "r_name"), ("supplier", "s_name"), ("customer", "c_name"), ("part", "p_name"), ("part", "p_type"), ("part", "p_brand")))
 
 
@@ -164,7 +170,7 @@ SQL: dict[str, str] = {
     "neighbors_limit": f"{S1}, {near(10)} select query_id, pos, '[' || a || '] -' || rel || '-> [' || b || ']' as triplet from near",
     "neighbors_oriented": f"{S1}, {near(None)} select query_id, pos, src, rel, dst from near",
     "khop_edges": f"{S1}, {KHOP} select query_id, src, rel, dst from khop",
-    "khop_rendered": f"{S1}, {KHOP} select query_id, '[' || src || '] - ' || rel || ' -> [' || dst || '] (Context: None)' as triplet from khop",
+    "khop_rendered": f"{S1}, {KHOP} select query_id, '[' || src || '] - ' || rel || ' -> [' || dst || '] (Context: ' || case when rel = 'SUPPLIES' then 'sold by ' || lower(src) else 'None' end || ')' as triplet from khop",
     "shortest_path_dist": f"{S1}, {PATHS} select query_id, origin, target, hops::bigint as hops from paths",
     "shortest_path_edges": f"{S1}, {PATHS} select query_id, origin, target, array_to_string(list_transform(path, lambda e: '[' || e.src || '] -' || e.rel || '-> [' || e.dst || ']'), '; ') as path from paths",
     "candidate_union": f"{S1}, {PATHS}, {near(10)} select query_id, e.src as src, e.rel as rel, e.dst as dst from (select query_id, unnest(path) as e from paths) union select query_id, a, rel, b from near",
@@ -173,9 +179,9 @@ SQL: dict[str, str] = {
     "context_string": f"with {ranked(12)} {CONTEXT}",
     "distinct_first_seen": "select head, min(seq) as seq, arg_max(role, seq) as role from (select substring(lower(text), 1, 3) as head, conv_id * 1000 + turn as seq, role from conversations) group by head",
     "empty_context_sentinel": f"with {ranked(12)} select query_id, coalesce(answer, 'No relevant graph context found.') as answer from questions left join (select query_id, string_agg(triplet, chr(10) order by rank) as answer from ranked where score > 1.0 group by query_id) using (query_id)",
-    "vector_topk": nearest("vec_id = 7", "l2"),
-    "vector_topk_multi": nearest("vec_id < 10", "l2"),
-    "vector_topk_cosine": nearest("vec_id < 10", "cos"),
+    "vector_topk": nearest(1, "l2"),
+    "vector_topk_multi": nearest(5, "l2"),
+    "vector_topk_cosine": nearest(5, "cos"),
     "vector_insert_idempotent": "select vec_id as id, embedding[1] as first from embeddings where vec_id < 200 union all select vec_id, embedding[len(embedding)] from embeddings where vec_id >= 200",
     "vector_arm": f"with {ASKED2}, {ARM} select query_id, rank::int as rank, id, score from arm",
     "resume_pending": f"with {ASKED2} select query_id, (row_number() over (order by query_id))::int as run_no from questions where not exists (select 1 from labels where doc_id = query_id)",
@@ -188,9 +194,17 @@ SQL: dict[str, str] = {
     "report_by_group": "select lang, source, avg(coalesce(quality, 0)) as quality, count(*) as n from documents left join labels using (doc_id) group by rollup (lang, source)",
     "highlight_nodes": f"{LIT} select id from litn",
     "highlight_edges": f"{LIT} select distinct src, dst from lit",
-    "viz_nodes": f"{LIT}, deg as (select id, count(*) as degree from (select src as id from shown union all select dst from shown) group by id) select id, id || ' | tables p.None' as title, {_COLOUR('id in (select id from litn)')} as color, case when id in (select id from litn) then 28.0::double else least(45.0::double, 15 + sqrt(degree) * 2.5) end as size from deg",
+    "viz_nodes": f"{LIT}, ends as (select src as id, * from shown union all select dst as id, * from shown), firsts as (select id, lower(rel) || ' p.' || case when rel <> 'HAS_TYPE' then length(dst)::varchar else 'None' end as place from (select *, row_number() over (partition by id order by src, rel, dst) as k from ends) where k = 1), deg as (select id, count(*) as degree, min(place) as place from ends join firsts using (id) group by id) select id, id || ' | ' || place as title, {_COLOUR('id in (select id from litn)')} as color, case when id in (select id from litn) then 28.0::double else least(45.0::double, 15 + sqrt(degree) * 2.5) end as size from deg",
     "viz_edges": f"{LIT} select src, rel, dst, {_COLOUR('(src, dst) in (select (src, dst) from lit)')} as color, case when (src, dst) in (select (src, dst) from lit) then 2.5::double else 0.8::double end as width from shown",
     "chat_window": "select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc) as k from conversations) where k <= 4",
     "chat_windows_by_turn": "select conv_id, turn, string_agg(role || ': ' || text, chr(10)) over (partition by conv_id order by turn rows between 3 preceding and current row) as window from conversations",
-    "chat_refusals": "select conv_id, turn, role from conversations where conv_id % 5 = 0 or contains(lower(text), 'cannot conclude')",
+    "chat_refusals": "select conv_id, turn, role from conversations where text is not null and (conv_id % 5 = 0 or conv_id % 7 = 0 or contains(lower(text), 'cannot conclude') or contains(text, '无法得出结论'))",
+    "chat_prompt": f"{CHAT} select conv_id, count(*)::int as n, string_agg(role || ': ' || content, chr(10) order by place) as prompt from prompts group by conv_id",
+    "chat_settled": f"{CHAT}, answers as (select conv_id, context, conv_id % 5 = 0 or contains(lower(context), 'cannot conclude') or contains(context, '无法得出结论') as refused from system) select conv_id, case when refused then '' else context end as context, case when conv_id % 5 = 0 then 'I cannot conclude this.' else 'From: ' || context end as answer, refused, case when refused then 0 else (select count(distinct role) + max((role is null)::int) from conversations c where c.conv_id = answers.conv_id) end::bigint as n_lit from answers",
+    "triplet_rows": f"with {ranked(15)} select query_id, rank::int as rank, triplet, src, rel, dst from ranked join (select query_id, triplet, min(src) as src, min(rel) as rel, min(dst) as dst from (select query_id, '[' || a || '] -' || rel || '-> [' || b || ']' as triplet, a as src, rel, b as dst from near) group by all) using (query_id, triplet)",
+    "keyword_engine": f"with {ASKED2} {_exploded(_PARSED(chr(39).join(['replace(question, ', ' ', ', ', ',', ')']), 0), 'questions where query_id % 3 <> 0')}",
+    "context_two_ways": f"with {ASKED2}, {ARM} select query_id, string_agg(body, chr(10) || '---' || chr(10) order by rank) as context, string_agg(body, chr(10) order by rank) as judged from arm group by query_id",
+    "experiment_index": f"with {ASKED2} select query_id, run_no::int as run_no from (select *, row_number() over (order by query_id) as run_no from questions) where not exists (select 1 from labels where doc_id = query_id)",
+    "results_roundtrip": f"with {RESULTS} select query_id::varchar as id, case when query_id % 2 = 0 then 'even' else 'odd' end as category, question, {', '.join(f'max({c}) filter (arch = {chr(39)}{a}{chr(39)}) as {a[: a.index(chr(95))]}_{n}' for a in ('baseline_vector_rag', 'proposed_graph_rag') for c, n in zip(('answer', *_METRICS), ('answer', *SCORES)))} from results group by query_id, question",
+    "ingest_counts_by_chunk": f"with {CHUNKS.replace('950', '850').replace('1200', '1000')}, sent as (select doc_id, chunk_pos, unnest(string_split({CLEAN.replace('text', 'chunk')}, '. ')) as sentence from chunks), raw as (select doc_id, chunk_pos, w[1] as source, w[3] as target from (select *, string_split(sentence, ' ') as w from sent) where len(w) >= 3) select doc_id, chunk_pos, count(*) filter ({USABLE})::bigint as n_written from raw group by doc_id, chunk_pos",
 }

@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 TRIPLES = "triples array<struct<source: string, relation: string, target: string, description: string>>"
 QUESTIONS = "id string, category string, difficulty string, question string, expected_strategic_intent string"
 SCORE = "struct<faithfulness_score: int, relevance_score: int, context_precision_score: int, academic_justification: string, error: string>"
 RESULTS = f"id string, category string, question string, baseline_vector_rag struct<answer: string, scores: {SCORE}>, proposed_graph_rag struct<answer: string, scores: {SCORE}>"
-EDGES = "src string, rel string, dst string, description string, source string, page string"
 VECTORS = "id string, document string, embedding array<float>"
 PAGES = "doc_id string, page_idx int, text string"
-
-
-def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)

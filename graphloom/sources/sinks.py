@@ -16,7 +16,8 @@ def add_vectors(new: DataFrame, path: str) -> None:
 
 
 def append_results(records: DataFrame, path: str) -> None:
-    """Append result records as JSON lines; a crash loses the records of the running batch only."""
+    """Append records of schemas.RESULTS as JSON lines, which ``tables.results`` reads; a crash loses the records of the
+    running batch only."""
     records.write.mode("append").json(path)
 
 

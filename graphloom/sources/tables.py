@@ -52,9 +52,10 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.QUESTIONS).option("multiLine", True).json(path)
 
 
-def results(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
-    """Records of earlier runs; a missing path is empty unless required."""
-    return _optional(spark, lambda: spark.read.schema(schemas.RESULTS).option("multiLine", True).json(path), schemas.RESULTS, required)
+def results(spark: SparkSession, path: str, required: bool = False, array: bool = False) -> DataFrame:
+    """Records of earlier runs as ``sinks.append_results`` writes them, JSON lines; ``array``: one JSON array a file. A
+    missing path is empty unless required."""
+    return _optional(spark, lambda: spark.read.schema(schemas.RESULTS).option("multiLine", array).json(path), schemas.RESULTS, required)
 
 
 def collection(spark: SparkSession, path: str) -> DataFrame:

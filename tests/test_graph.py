@@ -45,6 +45,12 @@ def test_paths(spark, edges):
     assert [tuple(e) for e in path] == [("A", "R1", "B"), ("B", "R1", "C")]
 
 
+def test_paths_plan_grows_with_the_hops_only(spark, edges):
+    seeds = graph.seeds(graph.vertices(edges), asked(spark, (1, 0, "A"), (1, 1, "C")))
+    joins = [graph.shortest_paths(edges, seeds, hops)._jdf.queryExecution().optimizedPlan().toString().count("Join ") for hops in (2, 3, 4)]
+    assert all(n <= hops for n, hops in zip(joins, (2, 3, 4), strict=True))
+
+
 def test_k_hop(spark, edges):
     seeds = graph.seeds(graph.vertices(edges), asked(spark, (1, 0, "A")))
     assert rows(graph.k_hop_edges(edges, seeds), "src", "rel", "dst") == [("A", "R1", "B"), ("A", "R2", "B"), ("B", "R1", "C")]

@@ -50,6 +50,7 @@ def test_query_blocks(spark, monkeypatch):
     asked = rows.where("id < 7").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     whole = sorted(vectors.nearest(asked, rows, 3).collect())
     monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", 2)
+    monkeypatch.setattr(vectors, "VECTORS_AT_ONCE", 6)
     assert sorted(vectors.nearest(asked, rows, 3).collect()) == whole and whole[0][:3] == (0, 1, 0)
 
 
@@ -78,6 +79,61 @@ def test_backends(spark):
     assert answered == "Error: division by zero"
 
 
+def test_one_bad_row_fails_alone(spark):
+    """Of 200 questions one fails; the others of its frame are answered."""
+    rows = spark.range(200).select(F.col("id").alias("query_id"), F.lit("c").alias("context")).coalesce(1)
+
+    def answer():
+        def call(frame):
+            if 77 in set(frame["query_id"]):
+                raise RuntimeError("bad")
+            return frame["query_id"].map(str)
+
+        return call
+
+    got = {r["query_id"]: r["answer"] for r in backends.Backends(answer=answer).with_answer(rows, F.lit("x")).collect()}
+    assert got == {k: "Error: bad" if k == 77 else str(k) for k in range(200)}
+
+
+def test_engine_keywords(spark):
+    questions = spark.createDataFrame([(1, "tsmc, , us"), (2, "boom")], "query_id long, question string")
+
+    def keywords():
+        def call(frame):
+            if "boom" in set(frame["question"]):
+                raise RuntimeError
+            return frame["question"]
+
+        return call
+
+    made = backends.Backends(keywords=keywords).with_keywords(questions, engine=True)
+    assert {r["query_id"]: r["keywords"] for r in made.collect()} == {1: ["TSMC", "", "US"], 2: []}
+
+
+def test_results_round_trip(spark, tmp_path):
+    """Five records written by the sink are five read back, appended ones too; and an array of an older file."""
+    long = [(k, "c", f"q{k}\nline", arch, f"a{k}", k % 5 + 1, 2, 3) for k in range(5) for arch in ("baseline_vector_rag", "proposed_graph_rag")]
+    results = spark.createDataFrame(long, "query_id long, category string, question string, arch string, answer string, faithfulness int, relevance int, precision int")
+    made, path = experiment.records(results), str(tmp_path / "results")
+    assert made.schema.simpleString() == tables.results(spark, str(tmp_path / "none")).schema.simpleString()
+    sinks.append_results(made.where("id < 3"), path)
+    sinks.append_results(made.where("id >= 3"), path)
+    assert sorted(map(str, tables.results(spark, path).collect())) == sorted(map(str, made.collect())) and made.count() == 5
+    old = [r.asDict(recursive=True) for r in made.collect()]
+    (tmp_path / "old.json").write_text(json.dumps(old))
+    assert sorted(map(str, tables.results(spark, str(tmp_path / "old.json"), array=True).collect())) == sorted(map(str, made.collect()))
+
+
+def test_unusable_vectors_and_text_ids(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [1.0, None]), ("e", [1.0]), ("f", [float("nan"), 1.0]), ("g", [0.0, 2.0]), ("a", [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [2.0])], "query_id long, query array<float>")
+    found = sorted(tuple(r) for r in vectors.nearest(asked, df, 9).collect())
+    assert found == [(1, 1, "a", 0.0), (1, 2, "a", 0.0), (1, 3, "b", 1.0), (1, 4, "g", 5.0), (3, 1, "e", 1.0)]
+    assert sorted(r["id"] for r in vectors.nearest(asked, df, 9, "cosine").where("query_id = 1").collect()) == ["a", "a", "g"]
+    assert vectors.nearest(asked.limit(0), df).count() == 0 and vectors.nearest(asked, df.limit(0)).count() == 0
+
+
 def test_reports(spark):
     rows = spark.createDataFrame([("a", 4, 1, 1), ("a", 5, 2, 2), ("a", None, 3, 3)], "arch string, faithfulness int, relevance int, precision int")
     summary = experiment.report(rows, ["arch"])

@@ -7,7 +7,7 @@ from graphloom import cli
 from graphloom.operators import experiment
 from graphloom.operators.backends import Backends
 from graphloom.plans import retrieval
-from graphloom.sources import tables
+from graphloom.sources import sinks, tables
 
 PAGES = [
     ("a.txt", k, f"Memory feeds accelerators on page {k}. Foundries make chips for everyone. Export rules limit sales abroad.") for k in range(4, 8)
@@ -53,6 +53,37 @@ def test_experiment(spark, pages, asked):
     assert out[list(experiment.METRICS)].isin(range(1, 6)).all().all()
 
 
+def test_experiment_resumes_from_records(spark, pages, asked, tmp_path):
+    """What a run stored is not run again; the judge's context has line ends, not the prompt's rules."""
+    edges, _ = retrieval.build_graph(pages)
+    collection, path = retrieval.build_collection(pages), str(tmp_path / "results")
+    known = asked.withColumn("category", F.lit("c"))
+    judge = Backends(judge=lambda: lambda f: ["---" in c and "rules" or '{"faithfulness_score": 1}' for c in f["context"]])
+    first = retrieval.run_experiment(known.where("query_id < 3"), tables.results(spark, path), collection, edges, judge)
+    rows = first.join(known.select("query_id"), "query_id")
+    assert rows.where("faithfulness = 1").count() == rows.count() == 4
+    sinks.append_results(experiment.records(rows), path)
+    rest = retrieval.run_experiment(known, tables.results(spark, path), collection, edges)
+    assert {r["query_id"] for r in rest.select("query_id").collect()} == {3}
+
+
+def test_chat_turn(spark, pages):
+    edges, _ = retrieval.build_graph(pages)
+    messages = spark.createDataFrame([(1, k, "user" if k % 2 == 0 else "assistant", f"m{k}") for k in range(6)] + [(1, 6, "user", "Which foundries make chips"), (2, 0, "user", "Which foundries make chips")], "conv_id long, turn long, role string, text string")
+    asked = spark.createDataFrame([(1, "Which foundries make chips"), (2, "Which foundries make chips")], "query_id long, question string")
+
+    def model():
+        return lambda f: ["Cannot conclude." if len(p) == 2 else p[0]["content"] for p in f["prompt"]]
+
+    answers, lit = retrieval.chat_turn(messages, asked, edges, Backends(chat=model))
+    got = {r["conv_id"]: r for r in answers.collect()}
+    assert [m["content"] for m in got[1]["prompt"]][1:] == ["m3", "m4", "m5", "Which foundries make chips"]
+    assert "[FOUNDRIES] -MAKE-> [CHIPS]" in got[1]["answer"] and not got[1]["refused"]
+    assert got[2]["refused"] and got[2]["context"] == ""
+    edges_lit = {(r["conv_id"], r["src"], r["dst"]) for r in lit.collect()}
+    assert (1, "FOUNDRIES", "CHIPS") in edges_lit and {c for c, *_ in edges_lit} == {1}
+
+
 def test_judge_replies(spark, asked):
     replies = {"1": '{"faithfulness_score": 4, "relevance_score": 5, "context_precision_score": 3}', "2": "", "3": "no json"}
     rows = asked.select(F.col("query_id").cast("string").alias("question"), "intent", F.lit("c").alias("context"), F.lit("a").alias("answer"))

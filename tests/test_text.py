@@ -48,5 +48,5 @@ def test_keywords_or_fallback(spark):
 
 
 def test_refusal_and_render(spark):
-    assert column(spark, ["We CANNOT conclude", f"x{fn.REFUSAL_ZH}", "fine", None], fn.is_refusal) == [True, True, False, False]
+    assert column(spark, ["We CANNOT conclude", f"x{fn.REFUSAL_ZH}", "fine", None, "无法得出"], fn.is_refusal) == [True, True, False, False, False]
     assert column(spark, [None, "d"], lambda c: fn.render_with_context(F.lit("A"), F.lit("R"), F.lit("B"), c)) == ["[A] - R -> [B] (Context: None)", "[A] - R -> [B] (Context: d)"]
