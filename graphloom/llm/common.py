@@ -35,6 +35,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FEW = 200_000  # rows of ids and hashes that are broadcast at most: some 10 MB
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """A stored table of short rows for a join with texts: broadcast if it has at most FEW rows, which are counted here; else
+    the texts are shuffled to it."""
+    return F.broadcast(df) if df.count() <= FEW else df.hint("merge")
+
+
 def parts(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, materialise, parts, pieces, slices, text_bytes, word_hashes
+from graphloom.llm.common import beside, components, materialise, parts, pieces, slices, text_bytes, word_hashes
 
 SUBTREE = 65_536  # fingerprints in a subtree, about
 DENSE = 4 * SUBTREE  # and at most, in one block of it
@@ -277,7 +277,7 @@ def _without(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
     """``docs`` without the rows of found(id, text_hash, component) whose id is not their component."""
     gone = found.where(F.col("id").isNotNull() & (F.col("id") != F.col("component")))
     gone = materialise(gone.select(F.col("id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct(), "simhash-gone")
-    return docs.join(gone, (docs[id_col] == F.col("__gone")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__hash")), "left_anti")
+    return docs.join(beside(gone), (docs[id_col] == F.col("__gone")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__hash")), "left_anti")
 
 
 # --- sets of shingles ---
@@ -440,7 +440,7 @@ def keep_one_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hubs = materialise(_hubs(members), "simhash-hubs")
     own = known.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     needed = materialise(members.join(hubs, "cluster").drop("word"), "simhash-needed")  # texts are not shuffled if these are few
-    held = own.join(needed, ["id", "text_hash"]).select("cluster", "digest", "n", "hub", "blocks", "text").dropDuplicates(["cluster", "digest"])
+    held = own.join(beside(needed), ["id", "text_hash"]).select("cluster", "digest", "n", "hub", "blocks", "text").dropDuplicates(["cluster", "digest"])
     held = materialise(held, "simhash-texts")
     block = F.pmod(F.xxhash64("digest"), F.col("blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, slices, text_bytes
+from graphloom.llm.common import FEW, materialise, slices, text_bytes
 
 REACH = 24  # a boundary every 49 bytes, and none nearer than this but for ties
 TIES = 64  # of equal hashes in reach of one another, as in periodic texts, one in so many bytes
@@ -138,28 +138,27 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     runs = pairs.groupBy("id", "first_id", "shift").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("length")).alias("high"))
     runs = materialise(runs.withColumn("around", F.lit(AROUND)), "substring-runs")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
-    needed = materialise(runs.select(F.explode(F.array("id", "first_id")).alias("id")).distinct(), "substring-needed")
-    texts = materialise(texts.join(needed, "id", "left_semi"), "substring-texts")  # the others are not shuffled if these are few
-    spans = None
+    spans, near = None, lambda df: df.hint("merge")  # the first windows are many
     while True:  # at most as many rounds as it takes from AROUND to the longest text, by factors of eight
-        seen = materialise(_compared(runs, texts, min_words), "substring-spans")
+        seen = materialise(_compared(runs, texts, min_words, near), "substring-spans")
         closed = seen.where("around is null").select("id", "first_id", "text_hash", "start", "length", "words")
         spans = closed if spans is None else spans.unionByName(closed)
         runs = seen.where("around is not null").select("id", "first_id", "shift", "low", "high", (F.col("around") * 8).alias("around")).distinct()
         runs = materialise(runs, "substring-runs")
         if runs.isEmpty():
             return _merged(spans)
+        near = F.broadcast if runs.count() <= FEW else near
 
 
-def _compared(runs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+def _compared(runs: DataFrame, texts: DataFrame, min_words: int, near) -> DataFrame:
     """The passages (id, first_id, text_hash, start, length, words) of runs(id, first_id, shift, low, high, around), whose
     bytes are compared from ``around`` before low to ``around`` behind high; a window that is equal up to an end, where the
-    texts go on, is given back instead (around is null in the rows of passages)."""
+    texts go on, is given back instead (around is null in the rows of passages). ``near`` is how runs are joined to texts."""
     begin = F.greatest(F.col("low") - F.col("around"), F.lit(0), F.col("shift"))
     runs = runs.withColumn("here", begin).withColumns({"there": F.col("here") - F.col("shift"), "size": F.col("high") + F.col("around") - F.col("here")})
     window = lambda at: F.expr(f"substring(text, {at} + 1, size + 1)")
-    here = runs.join(texts, "id").select(*runs.columns, F.xxhash64("text").alias("text_hash"), window("here").alias("own"), F.expr("if(here > 0, substring(text, here, 1), cast('' as binary))").alias("before"))
-    ends = runs.select("first_id", "there", "size").distinct().join(texts.withColumnRenamed("id", "first_id"), "first_id").select("first_id", "there", "size", window("there").alias("other"))
+    here = texts.join(near(runs), "id").select(*runs.columns, F.xxhash64("text").alias("text_hash"), window("here").alias("own"), F.expr("if(here > 0, substring(text, here, 1), cast('' as binary))").alias("before"))
+    ends = texts.withColumnRenamed("id", "first_id").join(near(runs.select("first_id", "there", "size").distinct()), "first_id").select("first_id", "there", "size", window("there").alias("other"))
     names = ["id", "first_id", "text_hash", "shift", "low", "high", "around", "here", "there", "size", "own", "before", "other"]
     both = here.join(ends, ["first_id", "there", "size"]).select(*names)
     kind = both.schema["id"].dataType.simpleString()
