@@ -129,9 +129,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     shared = found.groupBy("digest").agg(F.min("id").alias("least_id"), F.max("id").alias("__last")).where("least_id <> __last").drop("__last")
     shared = materialise(shared, "substring-shared")  # a plain table beside each join, so that AQE can split a hot digest
     held = materialise(found.join(shared, "digest"), "substring-held")
-    first = held.where("id = least_id").groupBy("digest").agg(F.min(F.struct("id", "start")).alias("h"))
-    second = held.where("id <> least_id").groupBy("digest").agg(F.min(F.struct("id", "start")).alias("h"))
-    holders = first.unionByName(second).select("digest", F.col("h.id").alias("first_id"), F.col("h.start").alias("there"))
+    least = lambda which: F.min(F.when(F.expr(which), F.struct("id", "start")))
+    holders = held.groupBy("digest").agg(least("id = least_id").alias("first"), least("id <> least_id").alias("second"))
+    holders = holders.select("digest", F.explode(F.array("first", "second")).alias("h")).select("digest", F.col("h.id").alias("first_id"), F.col("h.start").alias("there"))
     holders = materialise(holders, "substring-holders")
     pairs = held.where("id <> least_id").join(holders, "digest").where("first_id < id")
     pairs = pairs.withColumn("shift", F.col("start") - F.col("there"))
@@ -143,11 +143,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         seen = materialise(_compared(runs, texts, min_words, near), "substring-spans")
         closed = seen.where("around is null").select("id", "first_id", "text_hash", "start", "length", "words")
         spans = closed if spans is None else spans.unionByName(closed)
-        runs = seen.where("around is not null").select("id", "first_id", "shift", "low", "high", (F.col("around") * 8).alias("around")).distinct()
-        runs = materialise(runs, "substring-runs")
-        if runs.isEmpty():
+        open_ = seen.where("around is not null")
+        if not (left := open_.count()):
             return _merged(spans)
-        near = F.broadcast if runs.count() <= FEW else near
+        runs = open_.select("id", "first_id", "shift", "low", "high", (F.col("around") * 8).alias("around")).distinct()
+        if left <= FEW:
+            near = F.broadcast
+        else:
+            runs = materialise(runs, "substring-runs")
 
 
 def _compared(runs: DataFrame, texts: DataFrame, min_words: int, near) -> DataFrame:
