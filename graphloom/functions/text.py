@@ -124,4 +124,5 @@ def overlap(part: Column, whole: Column) -> Column:
 
 
 def two_decimals(x: Column) -> Column:
-    return F.format_string("%.2f", F.round(x, 2))
+    """Rounded as a hundredfold double, as DuckDB does; ``F.round(x, 2)`` goes by the decimal digits (1.005: 1.01, not 1.00)."""
+    return F.format_string("%.2f", F.round(x * 100) / 100)
