@@ -23,7 +23,7 @@ def test_oracles_name_queries():
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
 
 
-@pytest.mark.parametrize(("name", "rows"), [("report_console", experiment.console_rows)])
+@pytest.mark.parametrize(("name", "rows"), [("report_console", experiment.console_rows), ("report_latex", experiment.latex_rows)])
 def test_report_of_every_mean(spark, con, name, rows):
     """All means that 200 grades can have, halves of a cent among them, against the SQL's own expression."""
     means = [f"{at} / 200D as {m}" for m, at in zip(experiment.METRICS, ("id", "(1200 - id)", "(id + 1)"), strict=True)]
